@@ -194,3 +194,45 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(x if isinstance(x := made[c], pa.Array) else pa.array(x) for c in names)], names=[*keep, *names])
 
     return df.select(*(f"`{c}`" for c in need)).mapInArrow(run, schema)
+
+
+def flat_texts(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """Like ``map_texts``, but ``work`` returns any number of rows as a list of columns."""
+    ship(df.sparkSession)
+    names = [f.name for f in T._parse_datatype_string(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, text):
+                buf, offsets = byte_view(part.column(text))
+                made = work(part, buf, offsets)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of each run of equal keys, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(n, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        new[0] = last is not None and first != last
+        at = 0
+        for cut in np.flatnonzero(new):
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from treeloom.llm import decontamination
+from treeloom.llm import decontamination, ngram_join
 
 
 def queries():
-    return {"op2_decontamination": decontamination.op2_decontamination}
+    return {
+        "op2_decontamination": decontamination.op2_decontamination,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
+    }
 
 
 def oracle_sql():
-    return {"op2_decontamination": decontamination.OP2_SQL}
+    return {
+        "op2_decontamination": decontamination.OP2_SQL,
+        "op4_ngram_join": ngram_join.OP4_SQL,
+    }
