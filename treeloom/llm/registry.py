@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from treeloom.llm import decontamination, ngram_join
+from treeloom.llm import chat, decontamination, ngram_join
 
 
 def queries():
     return {
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_ngram_join": ngram_join.op4_ngram_join,
     }
 
@@ -15,5 +16,6 @@ def queries():
 def oracle_sql():
     return {
         "op2_decontamination": decontamination.OP2_SQL,
+        "op3_chat_formatting": chat.OP3_SQL,
         "op4_ngram_join": ngram_join.OP4_SQL,
     }
