@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import chat, decontamination, ngram_join
+from treeloom.llm import chat, decontamination, ngram_join, secrets
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op6_secret_scan": secrets.op6_secret_scan,
     }
 
 
