@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import chat, decontamination, ngram_join, secrets
+from treeloom.llm import chat, decontamination, mixing, ngram_join, quality, secrets
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_mixing": mixing.op7_mixing,
+        "op10_quality": quality.op10_quality,
     }
 
 
@@ -19,4 +21,5 @@ def oracle_sql():
         "op2_decontamination": decontamination.OP2_SQL,
         "op3_chat_formatting": chat.OP3_SQL,
         "op4_ngram_join": ngram_join.OP4_SQL,
+        "op7_mixing": mixing.OP7_SQL,
     }
