@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import chat, decontamination, mixing, ngram_join, quality, secrets
+from treeloom.llm import chat, decontamination, embeddings, mixing, ngram_join, quality, secrets
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
+        "op9_embedding_dedup": embeddings.op9_embedding_dedup,
         "op10_quality": quality.op10_quality,
     }
 
@@ -22,4 +23,5 @@ def oracle_sql():
         "op3_chat_formatting": chat.OP3_SQL,
         "op4_ngram_join": ngram_join.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op9_embedding_dedup": embeddings.OP9_SQL,
     }
