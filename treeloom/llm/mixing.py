@@ -29,11 +29,13 @@ from treeloom.runtime import Scratch
 BROADCAST_CELLS = 100_000
 SALT = 64
 SWEEPS = 12
-#: Margins: a list of (column, {value: target share}); an empty table of targets means equal shares.
-Margins = list[tuple[str, dict[str, float]]]
+#: Margins: a list of (column, targets); targets are {value: share} or an exponent that tempers
+#: the present shares: 1 keeps them, 0 makes them equal.
+Margins = list[tuple[str, "dict[str, float] | float"]]
 
-DEFAULT_LANGS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
-DEFAULT_TOPICS = {"reference": 0.1, "listing": 0.1, "prose": 0.8}
+DEFAULT_SOURCES = 0.75
+DEFAULT_LANGS = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
+DEFAULT_TOPICS = 0.9
 
 
 def tokens(text: Column) -> Column:
@@ -64,11 +66,11 @@ def cell_rates(cells: DataFrame, margins: Margins, scratch: Scratch, sweeps: int
     out = cells.withColumn("w", F.col("w0"))
     for column, targets in margins:
         present = out.groupBy(column).agg(F.sum("w0").alias("__now"))
-        if targets:
+        if isinstance(targets, dict):
             pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]
             wish = F.try_element_at(F.create_map(*pairs), F.col(column))
         else:
-            wish = F.lit(1.0)
+            wish = F.pow(F.col("__now"), F.lit(float(targets)))
         # shares that have no target are kept; the targets present fill the rest
         row = present.select(column, "__now", F.when(F.col("__now") > 0, wish).alias("__wish"))
         sums = row.agg(F.sum(F.when(F.col("__wish").isNull(), F.col("__now"))).alias("kept"), F.sum("__wish").alias("wished")).first()
@@ -150,8 +152,8 @@ def _scale_for(rates: DataFrame, budget: float, least: float) -> float:
 
 
 def default_margins() -> Margins:
-    """Equal sources, fixed shares of languages and topics."""
-    return [("source", {}), ("lang", DEFAULT_LANGS), ("topic", DEFAULT_TOPICS)]
+    """Tempered sources and topics, fixed shares of languages."""
+    return [("source", DEFAULT_SOURCES), ("lang", DEFAULT_LANGS), ("topic", DEFAULT_TOPICS)]
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -160,7 +162,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 def _sql(sweeps: int = SWEEPS) -> str:
     wish = lambda column, t: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " END"
-    goals = {"source": "CAST(1 AS DOUBLE)", "lang": wish("lang", DEFAULT_LANGS), "topic": wish("topic", DEFAULT_TOPICS)}
+    goals = {"source": f"pow(sum(w0), {DEFAULT_SOURCES})", "lang": wish("lang", DEFAULT_LANGS), "topic": f"pow(sum(w0), {DEFAULT_TOPICS})"}
     out = [
         "WITH d AS MATERIALIZED (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')) AS BIGINT) AS tokens, "
         "CASE WHEN contains(lower(coalesce(text, '')), 'license') THEN 'reference' WHEN (length(text) - length(replace(text, chr(10), ''))) * 200 > length(text) THEN 'listing' ELSE 'prose' END AS topic FROM documents)",

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
 from treeloom.llm import chat, decontamination, embeddings, mixing, ngram_join, quality, secrets
 
 
+def pipeline(spark, sf_dir):
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries():
     return {
         "op2_decontamination": decontamination.op2_decontamination,
@@ -14,6 +20,7 @@ def queries():
         "op7_mixing": mixing.op7_mixing,
         "op9_embedding_dedup": embeddings.op9_embedding_dedup,
         "op10_quality": quality.op10_quality,
+        "pipeline": pipeline,
     }
 
 
