@@ -95,8 +95,15 @@ class Words:
             up, down = _power(n + 1)
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_LOWER_HASH[buf] * up[:n], out=sums[1:])
+            self.sums, self.down = sums, down
             self.h = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word indices, hashes) of the first ``size`` bytes of the words that are longer."""
+        at = np.flatnonzero(self.end - self.start > size)
+        begin = self.start[at]
+        return at, mix((self.sums[begin + size] - self.sums[begin]) * self.down[begin] + _U(size << 32))
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from treeloom.llm import chat, decontamination, embeddings, mixing, ngram_join, quality, secrets
+from treeloom.llm import chat, decontamination, embeddings, mixing, ngram_join, quality, secrets, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -16,6 +16,7 @@ def queries():
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
         "op9_embedding_dedup": embeddings.op9_embedding_dedup,
