@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from treeloom.llm import chat, decontamination, embeddings, mixing, ngram_join, quality, secrets, toxicity
+from treeloom.llm import chat, decontamination, embeddings, licenses, mixing, ngram_join, quality, secrets, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -13,6 +13,7 @@ def pipeline(spark, sf_dir):
 
 def queries():
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_ngram_join": ngram_join.op4_ngram_join,
@@ -27,6 +28,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_license_scan": licenses.OP1_SQL,
         "op2_decontamination": decontamination.OP2_SQL,
         "op3_chat_formatting": chat.OP3_SQL,
         "op4_ngram_join": ngram_join.OP4_SQL,
