@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from treeloom.llm import chat, decontamination, embeddings, licenses, mixing, ngram_join, quality, secrets, toxicity
+from treeloom.llm import chat, decontamination, embeddings, licenses, lm_scoring, mixing, ngram_join, quality, secrets, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ def queries():
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_embedding_dedup": embeddings.op9_embedding_dedup,
         "op10_quality": quality.op10_quality,
         "pipeline": pipeline,
