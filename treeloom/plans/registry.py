@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from treeloom.plans import relational
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Callable]:
+    return {**relational.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**relational.SQL}
