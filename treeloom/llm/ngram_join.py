@@ -3,8 +3,8 @@
 A document's set holds its distinct k-word shingles.  Each shingle flips one bit of a
 sketch, so the Hamming distance of two sketches never exceeds the symmetric difference of
 the sets.  For a size band whose smaller member has at most ``a`` shingles, a link at
-Jaccard >= t leaves at most d = (1-t)/t * a differing shingles; a sketch of d+1+z words of
-64 bits then has at least z+1 equal words.  Documents are joined on equal words.  A
+Jaccard >= t leaves at most d = (1-t)/t * a differing shingles; a sketch of d+1+z words
+then has at least z+1 equal words.  Documents are joined on equal words.  A
 document with at most z empty words shares a non-empty one with every partner, so empty
 words are keys only for documents with more.
 
@@ -12,7 +12,9 @@ Documents of equal sets are collapsed first.  Documents that share a key are nev
 with each other: they join the group of the key's first document, and a group is searched
 in blocks of bounded size, where whole-set sketches discard pairs, exact intersections
 verify the rest, and pairs already in one component are skipped.  Groups whose members a
-first pass has not brought into one component are searched whole in a second pass.
+first pass has not brought into one component are searched whole in a second pass.  Before
+any text moves, the sketches alone sieve each group, so only documents with a possible
+partner are read again.
 
 Defined cases: null or empty text, or text without words, has an empty set and links with
 nothing; fewer than k words form one shingle; rows that share an id are one vertex; a null
@@ -36,7 +38,10 @@ from treeloom.runtime import Scratch, ship
 _U = np.uint64
 #: Shingles in one block of a group: its sets take eight bytes each, its texts about as much.
 BLOCK_SHINGLES = 1_500_000
-PROFILE = [T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType())]
+#: Documents in one block of the sieve, which holds sketches only.
+BLOCK_SKETCHES = 16_384
+MOST_BITS = 16
+PROFILE = [T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("sketch", T.BinaryType())]
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +55,38 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
+def whole_sketches(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of one to two bits a shingle, as 64-bit words with row bounds.
+
+    Unrelated sets then differ in over a third as many bits as they have shingles, well over the
+    bound.  Widths are powers of two; a sketch folds to half its width by XOR of its halves.
+    """
+    sizes = np.diff(first)
+    bits = np.clip(np.ceil(np.log2(np.maximum(sizes, 64))), 6, MOST_BITS).astype(np.int64)
+    words = np.left_shift(1, bits - 6)
+    bound = np.append(0, np.cumsum(words))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros(bound[-1], np.uint64)
+    place = bound[:-1][row] + ((flat >> _U(6)) & (words[row] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, place, _U(1) << (flat & _U(63)))
+    return out, bound
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one group as rows of the least width among them."""
+    least = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), least), np.uint64)
+    for i, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint64)
+        out[i] = np.bitwise_xor.reduce(x.reshape(-1, least), axis=0)
+    return out
+
+
 def profile(batch, buf, offsets, k: int) -> dict:
     flat, first = shingle_sets(buf, offsets, k)
-    return {"n_shingles": np.diff(first).astype(np.int64), "set_a": _sums(mix(flat + _U(1)), first), "set_b": _sums(mix(flat ^ _U(0x5BD1E995)), first)}
+    words, bound = whole_sketches(flat, first)
+    sketch = pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * 8).astype(np.int32)), pa.py_buffer(words)])
+    return {"sketch": sketch, "n_shingles": np.diff(first).astype(np.int64), "set_a": _sums(mix(flat + _U(1)), first), "set_b": _sums(mix(flat ^ _U(0x5BD1E995)), first)}
 
 
 class Bands:
@@ -73,7 +107,11 @@ class Bands:
 
 
 def keys(flat: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every sketch word that a row is joined on; rows' hashes are sorted."""
+    """(row, key) for every sketch word that a row is joined on; rows' hashes are sorted.
+
+    A word has 2**64 bits of which each shingle flips one; it is held as the XOR of its
+    shingles' hashes, which differs wherever the words do and is 0 for an empty word.
+    """
     sizes = np.diff(first)
     band = bands.of(np.maximum(sizes, 1))
     out_rows, out_keys = [], []
@@ -86,13 +124,12 @@ def keys(flat: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray,
             continue
         words = bands.words[tag[rows]]
         slot0 = np.concatenate(([0], np.cumsum(words)))
-        pick = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
-        h = flat[pick]
         at = np.repeat(np.arange(len(rows)), sizes[rows])
+        h = flat[np.repeat(use, sizes)]
         slot = slot0[at] + (((h >> _U(32)) * words[at].astype(np.uint64)) >> _U(32)).astype(np.int64)
         turn = np.concatenate(([0], np.flatnonzero(np.diff(slot)) + 1))
         sketch = np.zeros(slot0[-1], np.uint64)
-        sketch[slot[turn]] = np.bitwise_xor.reduceat(_U(1) << (h & _U(63)), turn)
+        sketch[slot[turn]] = np.bitwise_xor.reduceat(mix(h + _U(0x51)), turn)
         owner = np.repeat(np.arange(len(rows)), words)
         index = np.arange(len(owner)) - slot0[owner]
         empty = sketch == 0
@@ -101,7 +138,7 @@ def keys(flat: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         owner, index, sketch = owner[on], index[on], sketch[on]
         place = (tag[rows][owner].astype(np.uint64) << _U(40)) + index.astype(np.uint64)
         out_rows.append(rows[owner])
-        out_keys.append(mix(mix(place + _U(0x1000003)) ^ sketch * _U(0x9E3779B97F4A7C15)))
+        out_keys.append(mix(mix(place + _U(0x1000003)) ^ sketch))
     if not out_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_rows), np.concatenate(out_keys)
@@ -127,6 +164,67 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["leader", "doc"])
 
 
+def sieve_block(docs: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, query: np.ndarray, leader: np.int64, part: int, whole: int) -> np.ndarray:
+    """True for rows that some other row may link to, by size and Hamming distance.
+
+    Rows are first held against the leader; ``query`` rows without a partner there are held against all.
+    """
+    passed = np.zeros(len(docs), bool)
+
+    def against(y: int) -> None:
+        at = np.flatnonzero((np.minimum(sizes, sizes[y]) * whole >= np.maximum(sizes, sizes[y]) * part) & (docs != docs[y]))
+        apart = np.bitwise_count(sketch[at] ^ sketch[y]).sum(1, dtype=np.int64)
+        at = at[apart <= (whole - part) * (sizes[at] + sizes[y]) // (whole + part)]
+        if len(at):
+            passed[at] = True
+            passed[y] = True
+
+    for y in np.flatnonzero(docs == leader):
+        against(y)
+    for y in np.flatnonzero(query):
+        if not passed[y]:
+            against(y)
+    return passed
+
+
+def _sieve(part: int, whole: int):
+    def run(batches):
+        for group in runs(batches, ["leader", "block"]):
+            docs, leader = group.column("doc").to_numpy(), group.column("leader").to_numpy()
+            query = group.column("query").to_numpy(zero_copy_only=False).astype(bool)
+            passed = sieve_block(docs, group.column("n").to_numpy(), folded(group.column("sketch").to_pylist()), query, leader[0], part, whole)
+            yield pa.RecordBatch.from_arrays([pa.array(leader), group.column("block").combine_chunks(), pa.array(docs), pa.array(passed)], names=["leader", "block", "doc", "passed"])
+
+    return run
+
+
+def survivors(star: DataFrame, sketches: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
+    """The (leader, doc) rows of ``star`` whose documents have a possible partner in the leader's group."""
+
+    def sieved(members: DataFrame) -> DataFrame:
+        rows = members.join(sketches, "doc").select("leader", "block", "query", "doc", "n", "sketch")
+        return rows.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(_sieve(part, whole), "leader long, block int, doc long, passed boolean")
+
+    load = star.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    large = scratch.cut(load.where("blocks > 1"))
+    whole_groups = large.isEmpty()
+    if whole_groups:
+        dealt = star.union(star.select("leader", F.col("leader").alias("doc")).distinct()).select("leader", F.lit(0).alias("block"), "doc")
+    else:
+        own = load.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("doc"))
+        dealt = star.join(load, "leader").select("leader", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc").union(own)
+    first = scratch.cut(sieved(dealt.withColumn("query", F.lit(True))))
+    passed = first.where("passed").select("leader", "doc")
+    if not whole_groups:
+        # documents without a partner in their own block are asked of every block
+        lone = first.where("not passed").join(large, "leader").where("doc <> leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.lit(True).alias("query"))
+        rest = first.join(large.select("leader"), "leader", "left_semi").where("passed").select("leader", "block", "doc", F.lit(False).alias("query"))
+        passed = passed.union(sieved(rest.union(lone)).where("passed").select("leader", "doc"))
+    out = scratch.cut(passed.where("leader <> doc").distinct())
+    scratch.drop(first, large)
+    return out
+
+
 def search_block(ids: np.ndarray, known: np.ndarray, flat: np.ndarray, first: np.ndarray, query: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all linked rows of a block.
 
@@ -134,13 +232,8 @@ def search_block(ids: np.ndarray, known: np.ndarray, flat: np.ndarray, first: np
     """
     sizes = np.diff(first)
     m = len(ids)
-    width = 1 << max(6, int(2 * max(1, sizes.max()) - 1).bit_length())
-    width = min(width, 1 << 16)
-    words = width >> 6
-    sketch = np.zeros(m * words, np.uint64)
-    row = np.repeat(np.arange(m), sizes)
-    np.bitwise_xor.at(sketch, row * words + ((flat >> _U(6)) & _U(words - 1)).astype(np.int64), _U(1) << (flat & _U(63)))
-    sketch = sketch.reshape(m, words)
+    words, bound = whole_sketches(flat, first)
+    sketch = folded([words[bound[i] : bound[i + 1]].tobytes() for i in range(m)])
     comp = np.unique(known, return_inverse=True)[1]
     edges = []
     for y in np.flatnonzero(query & (sizes > 0)):
@@ -217,9 +310,10 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
     facts = scratch.cut(facts)
     sets = ["n_shingles", "set_a", "set_b"]
     first = facts.where("n_shingles > 0 and doc is not null").groupBy(*sets).agg(F.min("doc").alias("rep"))
-    mapped = scratch.cut(facts.join(first, sets, "left").select("doc", "n_shingles", "rep"))
+    mapped = scratch.cut(facts.join(first, sets, "left").select("doc", "n_shingles", "rep", F.expr("case when doc = rep then sketch end").alias("sketch")))
     scratch.drop(facts)
     sizes = mapped.where("doc = rep").groupBy("doc").agg(F.max("n_shingles").alias("n"))
+    sketches = mapped.where("doc = rep").select("doc", F.col("n_shingles").alias("n"), "sketch").distinct()
     bands = Bands(part, whole)
 
     def keyed(batch, buf, offsets):
@@ -230,12 +324,18 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
     found = flat_texts(only, "text", "key long, doc long", keyed)
     star = scratch.cut(found.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "leader long, doc long").distinct())
     scratch.release()
+    all_stars, star = star, survivors(star, sketches, part, whole, scratch)
+    scratch.drop(all_stars)
+    scratch.release()
+    wanted = star.select("doc").union(star.select("leader")).distinct()
+    texts = scratch.cut(docs.join(wanted, "doc", "left_semi"))
+    scratch.release()
     nearest = star.groupBy("doc").agg(F.min("leader").alias("leader"))
     once = _blocked(nearest, sizes).select("*", F.col("doc").alias("known"), F.lit(True).alias("query"))
     # rows that share an id are one vertex: what their texts stand for is linked
-    shared = mapped.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("src"), F.max("rep").alias("top"), F.count("*").alias("rows")).where("src <> top").select("doc", "src")
-    shared = mapped.join(shared, "doc").select("src", F.col("rep").alias("dst"))
-    a = scratch.cut(_search(once, docs, k, part, whole).union(shared))
+    twice = mapped.where("rep is not null").groupBy("doc").agg(F.min("rep").alias("src"), F.max("rep").alias("top"), F.count("*").alias("rows")).where("src <> top").select("doc", "src")
+    twice = mapped.join(twice, "doc").select("src", F.col("rep").alias("dst"))
+    a = scratch.cut(_search(once, texts, k, part, whole).union(twice))
     scratch.release()
     label = components(a, scratch)
     named = lambda column, out: label.select(F.col("id").alias(column), F.col("component").alias(out))
@@ -250,13 +350,13 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
         asked = rest.where("c <> l").join(tops, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("block"), "doc", F.lit(True).alias("query"))
         members = dealt.withColumn("query", F.lit(False)).union(asked).groupBy("leader", "block", "doc").agg(F.max("query").alias("query"))
         members = members.join(named("doc", "c"), "doc", "left").select("leader", "block", "doc", F.coalesce("c", "doc").alias("known"), "query")
-        b = scratch.cut(_search(members, docs, k, part, whole))
+        b = scratch.cut(_search(members, texts, k, part, whole))
         scratch.release()
         if not b.isEmpty():
             scratch.drop(label)
             label = components(a.union(b), scratch)
         scratch.drop(b)
-    scratch.drop(a, star, rest)
+    scratch.drop(a, star, rest, texts)
     out = mapped.join(named("rep", "component"), "rep", "left")
     at = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", at.alias("component_id"))
