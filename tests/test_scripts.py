@@ -71,3 +71,9 @@ def test_coupling_and_check(project):
     c = {r["class"]: r["coupling"] for r in project.coupling().collect()}
     assert c["src/index.ts"] == 5 and c["src/d1.ts"] == 1
     assert {r["category"] for r in project.check(most=3).collect()} == {"complexity", "dead_code", "cycles"}
+
+
+def test_summary(project):
+    row = project.summary().first()
+    assert (row["files"], row["failed"], row["in_cycles"], row["scale"]) == (9, 1, 4, "Micro")
+    assert 0 <= row["score"] <= 100 and row["grade"] in "ABCDF"

@@ -251,3 +251,19 @@ def test_orphans_are_cycles_without_an_entry(spark):
     files = spark.createDataFrame([("index.ts",), ("a.ts",), ("b.ts",), ("c.ts",), ("d.test.ts",)], "file_path string")
     edges = spark.createDataFrame([("index.ts", "a.ts"), ("b.ts", "c.ts"), ("c.ts", "b.ts"), ("d.test.ts", "b.ts")], "src string, dst string")
     assert sorted(r["id"] for r in imports.orphans(files, edges, Scratch(spark)).collect()) == ["b.ts", "c.ts"]
+
+
+def test_expanded_chains_are_simple_paths():
+    members = {1: {1}, 2: {2, 3, 4}, 9: {9}}
+    edges = [(1, 2), (2, 3), (3, 4), (4, 2), (4, 9)]
+    assert graph.expand_chain([1, 2, 9], 1, members, edges) == [1, 2, 3, 4, 9]
+    assert graph.expand_chain([1, 2], 1, members, edges) == [1, 2, 3, 4]
+    assert graph.cycle_path(2, {2, 3, 4}, edges) == [2, 3, 4, 2]
+
+
+def test_entry_chains(spark):
+    e, scratch = edges_of(spark, "1-2 2-3 7-3"), Scratch(spark)
+    nodes = graph.vertices(e)
+    c = graph.scc(nodes, e, scratch)
+    chains = graph.longest_chains(c, graph.condensation(c, e), scratch)
+    assert [(r["id"], r["length"]) for r in graph.entry_chains(chains, nodes, e, c).collect()] == [(1, 3), (7, 2)]

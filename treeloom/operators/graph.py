@@ -202,3 +202,69 @@ def module_kind(source: Column, builtins: list[str]) -> Column:
         .when(F.split(source, "/")[0].isin(builtins), "builtin")
         .otherwise("package")
     )
+
+
+def entry_chains(chains: DataFrame, nodes: DataFrame, edges: DataFrame, components_: DataFrame, most: int = 5) -> DataFrame:
+    """The longest chains that begin at modules without importers, by length, then name."""
+    entry = roots(nodes, edges).join(components_, "id")
+    best = entry.join(chains.where("place = 1"), "component").select("id", "length", "chain")
+    return best.orderBy(F.desc("length"), "id").limit(most)
+
+
+def _route(start: int, goal: int, inside: set[int], out: dict[int, list[int]], avoid: set[int]) -> list[int] | None:
+    """A shortest route within a component, least ids first."""
+    seen, queue = {start: None}, [start]
+    for node in queue:
+        if node == goal:
+            path = []
+            while node is not None:
+                path.append(node)
+                node = seen[node]
+            return path[::-1]
+        for n in out.get(node, ()):
+            if n in inside and n not in seen and n not in avoid:
+                seen[n] = node
+                queue.append(n)
+    return None
+
+
+def expand_chain(chain: list[int], start: int | None, members: dict[int, set[int]], edges: list[tuple[int, int]]) -> list[int]:
+    """A simple path of modules along a chain of components.
+
+    Works on one reported chain and the edges among its components: between components it takes the
+    first crossing edge, inside one a shortest route, and in the last it walks while it can.
+    """
+    out: dict[int, list[int]] = {}
+    for a, b in sorted(set(edges)):
+        out.setdefault(a, []).append(b)
+    path: list[int] = []
+    at = start
+    for i, c in enumerate(chain):
+        inside = members[c]
+        at = min(inside) if at is None else at
+        if i + 1 < len(chain):
+            after = members[chain[i + 1]]
+            exits = [(a, b) for a, b in sorted(set(edges)) if a in inside and b in after]
+            found = next(((r, b) for a, b in exits if (r := _route(at, a, inside, out, set()))), None)
+            if found is None:
+                return path + [at]
+            path += found[0]
+            at = found[1]
+        else:
+            seen = {at}
+            path.append(at)
+            while nxt := next((n for n in out.get(path[-1], ()) if n in inside and n not in seen), None):
+                path.append(nxt)
+                seen.add(nxt)
+    return path
+
+
+def cycle_path(start: int, members: set[int], edges: list[tuple[int, int]]) -> list[int]:
+    """A simple path through a cycle from ``start`` back to it."""
+    out: dict[int, list[int]] = {}
+    for a, b in sorted(set(edges)):
+        out.setdefault(a, []).append(b)
+    for n in out.get(start, ()):
+        if n in members and (rest := _route(n, start, members, out, set())):
+            return [start, *rest]
+    return [start]

@@ -107,6 +107,32 @@ class Project:
         pairs = lsh.near_duplicates(words.select("id", F.array_sort(F.array_distinct(text.shingles(F.col("w"), 4))).alias("features")), c.similarity)
         return pairs.join(named.toDF("id1", "place1"), "id1").join(named.toDF("id2", "place2"), "id2").select("place1", "place2", "jaccard")
 
+    def summary(self) -> DataFrame:
+        """One row of totals, penalties, score and grade from the analyses' one-row summaries."""
+        f = self.functions().agg(F.count("*").alias("functions"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.count_if(F.col("risk_level") == "high").alias("high"), F.count_if(F.col("risk_level") == "medium").alias("medium"))
+        files = self.snapshot.agg(F.count("*").alias("files"), F.count("parse_error").alias("failed"))
+        d = self.dead_code()
+        dead = d["statements"].agg(F.count_if(F.col("severity") == 3).alias("critical"), F.count_if(F.col("severity") == 2).alias("warning"), F.count_if(F.col("severity") == 1).alias("info"))
+        unused = d["functions"].agg(F.count("*").alias("unused_functions"))
+        c = self.coupling().agg(F.count("*").alias("classes"), F.count_if(F.col("risk_level") == "high").alias("high_coupling"), F.count_if(F.col("risk_level") == "medium").alias("medium_coupling"))
+        deps = self.dependencies()
+        cyc = deps["cycles"].agg(F.count_distinct("name").alias("in_cycles"))
+        msd = deps["modules"].agg(F.coalesce(F.avg("distance"), F.lit(0.0)).alias("deviation"))
+        row = files
+        for part in (f, dead, unused, c, cyc, msd):  # one row each
+            row = row.crossJoin(part)
+        col = F.col
+        penalties = [
+            S.complexity_penalty(col("high"), col("medium"), col("functions")),
+            S.dead_code_penalty(col("critical"), col("warning") + col("unused_functions"), col("info"), col("files")),
+            S.coupling_penalty(col("high_coupling"), col("medium_coupling"), col("classes")),
+            S.dependency_penalty(col("files"), col("in_cycles"), F.lit(0), col("deviation")),
+            S.parse_error_penalty(col("failed"), col("files")),
+        ]
+        valid = S.valid_summary([col("functions"), col("files")], [])
+        score, grade = S.health_or_invalid(valid, penalties)
+        return row.withColumn("score", score).withColumn("grade", grade).withColumn("scale", S.project_scale(col("files")))
+
     def check(self, most: int = 19, cycles: int = 0) -> DataFrame:
         """Violations of the limits; none is a pass."""
         f = self.functions().where(F.col("complexity") > most).select(F.lit("complexity").alias("category"), F.concat_ws(":", "file_path", "start_line").alias("location"), F.col("complexity").cast("long").alias("actual"), F.lit(most).cast("long").alias("threshold"))
