@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.components import components, local_labels
 from treeloom.llm.kernel import SPACE, Words, byte_view, distinct, flat_texts, map_texts, mix, runs, shingles
+from treeloom.operators.components import components, local_labels
 from treeloom.runtime import Scratch, ship
 
 _U = np.uint64
