@@ -32,7 +32,6 @@ SPELLINGS = [
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labour", "labor"),
-    ("merchantability", "merchantability"),
     ("modelled", "modeled"),
     ("noncommercial", "non-commercial"),
     ("organisation", "organization"),
