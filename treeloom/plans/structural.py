@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import sets, text
 from treeloom.operators import flow, graph, grouping, imports, lsh, metrics, semantic, stats, trees
 from treeloom.plans import frames as R
-from treeloom.runtime import Scratch, table
+from treeloom.runtime import Scratch, spread, table
 from treeloom.streaming import windows
 
 QUERIES: dict = {}
@@ -35,7 +35,7 @@ r6 = lambda c: F.round(c, 6)
 
 def _features(spark, d):
     # the generator keeps the split from being inlined into each shingle
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(text.words(F.col("text")))).alias("w"))
+    words = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.explode(F.array(text.words(F.col("text")))).alias("w"))
     return words.select("id", F.array_sort(F.array_distinct(text.shingles(F.col("w"), 4, " "))).alias("features"))
 
 

@@ -106,3 +106,13 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, dealt over them; any other as it is.
+
+    One file of one row group is one task, however costly the expressions above it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= most_bytes and len(df.inputFiles()) < cores else df
