@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.llm.kernel import NOT_ALNUM, Words, chain, code_points, lists, map_texts
+from treeloom.runtime import spread
 
 #: Bytes of benchmark text in one block; a block becomes about 30 times that in tables.
 BLOCK_BYTES = 4_000_000
@@ -182,7 +183,7 @@ def _again(out: DataFrame, text: str, work) -> DataFrame:
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    found = decontaminate(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     n = F.size("hit_items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.runtime import spread
+
 BROADCAST_LICENSES = 100_000
 
 #: Spellings that licences use one for another.
@@ -100,7 +102,7 @@ def scan(documents: DataFrame, known: DataFrame | None = None, text: str = "text
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=["doc_id"])
 
 
 def _sql() -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from treeloom.llm.kernel import SPACE, Words, byte_view, distinct, flat_texts, map_texts, mix, runs, shingles
 from treeloom.operators.components import components, local_labels
-from treeloom.runtime import Scratch, ship
+from treeloom.runtime import Scratch, ship, spread
 
 _U = np.uint64
 #: Shingles in one block of a group: its sets take eight bytes each, its texts about as much.
@@ -363,7 +363,7 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 OP4_SQL = r"""

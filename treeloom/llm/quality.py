@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.llm.kernel import SPACE, Words, map_texts
-from treeloom.runtime import ship
+from treeloom.runtime import ship, spread
 
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
@@ -208,5 +208,5 @@ def score(documents: DataFrame, model: Classifier, text: str = "text", host: str
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=["doc_id"])

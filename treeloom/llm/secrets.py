@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.llm.kernel import LOWER, map_texts
+from treeloom.runtime import spread
 
 #: The base patterns of the contract.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -301,7 +302,7 @@ def mask(text: F.Column, secrets: F.Column) -> F.Column:
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    found = find_secrets(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] != "model")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.llm.kernel import NOT_ALNUM, Words, distinct, flat_texts, lists, map_texts
-from treeloom.runtime import ship
+from treeloom.runtime import ship, spread
 
 SAMPLE = 12_000
 SELECTED = 4_096
@@ -178,7 +178,7 @@ def remainder(doc: Column, n: int) -> Column:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 3) != 1)
     found = score(docs, learn(docs, labels), keep=["doc_id"])
     held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
