@@ -1,8 +1,10 @@
 """Secret scans: base patterns plus a character convolutional network over candidates.
 
 Candidates are the base matches and every run of ``[A-Za-z0-9+/_=.-]`` of 16 or more
-characters that holds a digit and a letter.  The network reads the candidate's first 48
-characters with 24 before and 8 after it: embedding, two convolution widths, max pooling,
+characters that holds a digit and a letter; of a run that overlaps base matches, each part
+outside them of that kind.  The network reads 48 characters of a candidate with 24 before and 8
+after them, every ``STRIDE`` characters up to the candidate's end, and the greatest score is the
+candidate's.  It scores base matches as well.  The network: embedding, two convolution widths, max pooling,
 one logistic unit, all in numpy.  It is trained on labelled findings that a seeded generator
 writes (keys, tokens and connection strings against words, addresses, versions, paths,
 dates and identifiers), its scores are calibrated by Platt scaling on findings held out from
@@ -39,6 +41,8 @@ CANDIDATE = 16
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Characters between two windows of a candidate, and windows scored at once.
+STRIDE, AT_ONCE = 16, 8192
 EMBED, FILTERS, SPANS = 12, 24, (3, 5)
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -72,6 +76,24 @@ def window(data: bytes, start: int, end: int) -> np.ndarray:
     return out
 
 
+def starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin; the last one reaches its end."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, STRIDE), last]
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no span covers."""
+    parts = []
+    for a, b in sorted(spans):
+        if a > start:
+            parts.append((start, min(a, end)))
+        start = max(start, b)
+        if start >= end:
+            return parts
+    return [*parts, (start, end)]
+
+
 class CharCNN:
     """Embedding -> convolutions -> ReLU -> max over positions -> logistic unit."""
 
@@ -243,25 +265,47 @@ def scan(net: CharCNN, buf: np.ndarray, offsets: np.ndarray) -> dict:
         run_a, run_b = run_a[mixed], run_b[mixed]
     lowered = LOWER[buf].tobytes()
     whole = buf.tobytes()
+    value: dict[tuple[int, int], int] = {}  # where the value of an assignment begins
     assign = any(h in lowered for h in HINTS)
     access = b"AKIA" in whole
     for r in range(rows if assign or access else 0):
         a, b = int(offsets[r]), int(offsets[r + 1])
         if assign and any(lowered.find(h, a, b) >= 0 for h in HINTS):
-            found[r].extend((m.start(), 0, m.end(), 1.0) for m in ASSIGN.finditer(whole[a:b]) if len(m[2]) >= LEAST["assign"])
+            for m in ASSIGN.finditer(whole[a:b]):
+                if len(m[2]) >= LEAST["assign"]:
+                    found[r].append((m.start(), 0, m.end(), 1.0))
+                    value[r, m.start()] = m.start(2)
         if access and whole.find(b"AKIA", a, b) >= 0:
             found[r].extend((m.start(), 1, m.end(), 1.0) for m in ACCESS.finditer(whole[a:b]) if m.end() - m.start() >= LEAST["access"])
-    asked = []
-    for r, a, b in zip(np.searchsorted(offsets, run_a, side="right") - 1, run_a - 0, run_b):
-        x, y = int(a - offsets[r]), int(b - offsets[r])
-        if not any(s < y and x < e for s, _, e, _ in found[r]):
-            asked.append((r, x, y))
-    if asked:
-        texts = {r: whole[offsets[r] : offsets[r + 1]] for r in {r for r, _, _ in asked}}
-        scores = net.scores(np.array([window(texts[r], x, y) for r, x, y in asked]))
-        for (r, x, y), s in zip(asked, scores):
-            if s >= net.threshold:
-                found[r].append((x, 3, y, float(s)))
+    # every candidate is asked: the base matches, and the runs without them
+    asked = [(r, value.get((r, a), a) if k == 0 else a, b, i) for r in range(rows) for i, (a, k, b, _) in enumerate(found[r])]
+    for r, a, b in zip((np.searchsorted(offsets, run_a, side="right") - 1).tolist(), run_a.tolist(), run_b.tolist()):
+        x, y = a - int(offsets[r]), b - int(offsets[r])
+        base = [(s, e) for s, _, e, _ in found[r] if s < y and x < e]
+        for p, q in outside(x, y, base) if base else [(x, y)]:
+            c, d = p + int(offsets[r]), q + int(offsets[r])
+            if q - p >= CANDIDATE and digits[d] > digits[c] and letters[d] > letters[c]:
+                asked.append((r, p, q, -1))
+    best = np.zeros(len(asked))
+    held: list[tuple[int, np.ndarray]] = []
+
+    def judge() -> None:
+        if held:
+            np.maximum.at(best, [i for i, _ in held], net.scores(np.array([w for _, w in held])))
+            held.clear()
+
+    texts = {r: whole[offsets[r] : offsets[r + 1]] for r in {r for r, *_ in asked}}
+    for i, (r, x, y, _) in enumerate(asked):
+        for at in starts(x, y):
+            held.append((i, window(texts[r], at, min(y, at + INSIDE))))
+            if len(held) >= AT_ONCE:
+                judge()
+    judge()
+    for (r, x, y, i), s in zip(asked, best.tolist()):
+        if i >= 0:
+            found[r][i] = (*found[r][i][:3], s)
+        elif s >= net.threshold:
+            found[r].append((x, 3, y, s))
     spans = []
     for r in range(rows):
         own = sorted(found[r])
