@@ -5,7 +5,9 @@ lines and holder names dropped, punctuation and white space reduced to single bl
 SHA-256 of that form is joined to the digests of known licences.  A match is therefore an
 equality of entire texts, and nothing is compared pairwise.
 
-Known licences are a table of (license_id, text); its digests are broadcast when they are at
+Known licences are a table of (license_id, text): ``KNOWN``, and the full texts in the folder
+``license_texts``, each also without the appendix after its terms.  The SQL has ``KNOWN`` alone.
+A licence line inside a longer document is no match.  The table's digests are broadcast when they are at
 most ``BROADCAST_LICENSES`` and hash-joined otherwise.
 
 Defined cases: null or empty text, or one that is only copyright lines, has an empty canonical
@@ -16,6 +18,8 @@ columns that share a name with a result are replaced.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +86,19 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files of ``license_texts``, whole and up to the end of the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text("utf-8")
+        terms, end, appendix = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, text)] + ([(path.stem, terms + end), (path.stem, terms)] if appendix.strip() else [])
+    return out
+
+
 def known_digests(spark, known: DataFrame | None = None) -> DataFrame:
     """(digest, license_id) of a table of (license_id, text)."""
-    known = spark.createDataFrame(KNOWN, "license_id string, text string") if known is None else known
+    known = spark.createDataFrame(KNOWN + full_texts(), "license_id string, text string") if known is None else known
     rows = known.select(F.col("license_id").cast("string").alias("license_id"), canonical(F.col("text")).alias("c")).where("c <> '' and license_id is not null")
     return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
