@@ -1,19 +1,25 @@
 """License scans: canonical digest lookup of whole texts.
 
-A text is brought to canonical form - lower case, spelling variants made equal, copyright
-lines and holder names dropped, punctuation and white space reduced to single blanks - and the
-SHA-256 of that form is joined to the digests of known licences.  A match is therefore an
-equality of entire texts, and nothing is compared pairwise.
+A text is brought to canonical form - lower case, punctuation and white space reduced to single
+blanks, spelling variants made equal word by word - and the SHA-256 of that form is joined to
+the digests of known licences.  Line breaks and comment marks do not matter.  A second form
+leaves out whole lines that hold a copyright statement (the word or sign, then (c), a year or a
+place for one), "all rights reserved" or a licence's title; each known text and each document
+is looked up by both forms, so neither a changed copyright line nor a re-wrapped text hides a
+match.  A match is an equality of entire texts, and nothing is compared pairwise.
+
+``notices`` looks up every line of a text in the same way, as a text of its own, and so finds
+licence notices inside documents.
 
 Known licences are a table of (license_id, text): ``KNOWN``, and the full texts in the folder
-``license_texts``, each also without the appendix after its terms.  The SQL has ``KNOWN`` alone.
-A licence line inside a longer document is no match.  The table's digests are broadcast when they are at
-most ``BROADCAST_LICENSES`` and hash-joined otherwise.
-
-Defined cases: null or empty text, or one that is only copyright lines, has an empty canonical
-form and no licence; texts equal in canonical form share a digest; where two known licences
-have one digest the least id stands; repeated rows stay; an empty table gives no rows;
-columns that share a name with a result are replaced.
+``license_texts``, each also without the appendix after its terms.  The table's digests are
+broadcast when they are at most ``BROADCAST_LICENSES`` and hash-joined otherwise.
+
+Defined cases: null or empty text has an empty canonical form, no digest and no licence; one
+that is only copyright lines is looked up as it is; texts equal in canonical form share a
+digest; where two known licences have one digest the least id stands; repeated rows stay, and
+rows that share an id share its notices; an empty table gives no rows; columns that share a
+name with a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,26 +33,34 @@ from treeloom.runtime import spread
 
 BROADCAST_LICENSES = 100_000
 
-#: Spellings that licences use one for another.
+#: Words that licences use one for another.
 SPELLINGS = [
     ("licence", "license"),
-    ("sub-license", "sublicense"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
+    ("licencing", "licensing"),
     ("sub license", "sublicense"),
+    ("sub licenses", "sublicenses"),
+    ("sub licensed", "sublicensed"),
+    ("sublicence", "sublicense"),
+    ("sublicences", "sublicenses"),
     ("analogue", "analog"),
     ("favour", "favor"),
-    ("fulfil ", "fulfill "),
+    ("fulfil", "fulfill"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labour", "labor"),
     ("modelled", "modeled"),
-    ("noncommercial", "non-commercial"),
+    ("noncommercial", "non commercial"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("owner", "holder"),
+    ("owners", "holders"),
     ("per cent", "percent"),
     ("recognise", "recognize"),
-    ("redistribution's", "redistributions"),
+    ("redistribution s", "redistributions"),
     ("wilful", "willful"),
-    ("https:", "http:"),
+    ("https", "http"),
 ]
 
 #: Texts of known licences and licence notices.
@@ -70,20 +84,38 @@ KNOWN = [
     ),
 ]
 
-#: A line that holds nothing but a copyright statement, and the title lines of licences.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-TITLE_LINE = r"(?m)^[ \t#*/;-]*(?:the )?(?:mit|isc|bsd|simplified bsd|apache) license(?: \(mit\))?[ \t]*$"
+#: Lines of the second form's exception: a copyright statement, the reservation of rights, the title of a licence.
+DROPPED_LINE = (
+    r"(?m)^[ \t#*/;!%'\"-]*(?:"
+    r"(?:copyright[: \t]*|\(c\)[ \t]*|©[ \t]*)(?:\(c\)|©|[0-9]{4}|<|\[|\{)[^\n]*"
+    r"|all rights reserved[. \t]*"
+    r"|(?:the )?(?:mit|isc|bsd|simplified bsd|apache) licen[sc]e(?: \(mit\))?[ \t]*"
+    r")$"
+)
+
+
+def _lower(text: Column) -> Column:
+    return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("\n"))
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: built-in expressions only."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.replace(t, F.lit("\r"), F.lit("\n")), COPYRIGHT_LINE, "")
+def _spelled(t: Column, between: str) -> Column:
+    """Words set apart by two blanks, so that each has a blank of its own on either side, in one spelling."""
+    t = F.concat(F.lit(" "), F.regexp_replace(t, between, "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        if a != b:
-            t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, TITLE_LINE, "")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+        t = F.replace(t, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+    return F.regexp_replace(t, " +", " ")
+
+
+def canonical(text: Column, whole: bool = False) -> Column:
+    """The canonical form, of the text ``whole`` or without copyright lines and titles: built-in expressions only."""
+    t = _lower(text)
+    return F.trim(_spelled(t if whole else F.regexp_replace(t, DROPPED_LINE, ""), r"[^\p{L}\p{N}]+"))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line."""
+    t = _spelled(F.replace(_lower(text), F.lit("\n"), F.lit(" \n ")), r"[^\p{L}\p{N}\n]+")
+    return F.split(F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")), "\n")
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -97,45 +129,78 @@ def full_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(spark, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id) of a table of (license_id, text)."""
+    """(digest, license_id) of a table of (license_id, text), by both forms."""
     known = spark.createDataFrame(KNOWN + full_texts(), "license_id string, text string") if known is None else known
-    rows = known.select(F.col("license_id").cast("string").alias("license_id"), canonical(F.col("text")).alias("c")).where("c <> '' and license_id is not null")
+    forms = F.array(canonical(F.col("text")), canonical(F.col("text"), whole=True))
+    rows = known.select(F.col("license_id").cast("string").alias("license_id"), F.explode(forms).alias("c")).where("c <> '' and license_id is not null")
     return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def _bounded(digests: DataFrame) -> DataFrame:
+    return F.broadcast(digests) if digests.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES else digests
+
+
 def scan(documents: DataFrame, known: DataFrame | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with canonical_chars, digest and license_id (null where the text is no known licence)."""
-    digests = known_digests(documents.sparkSession, known).withColumnsRenamed({"digest": "__digest", "license_id": "__license"})
+    digests = _bounded(known_digests(documents.sparkSession, known))
     made = ["canonical_chars", "digest", "license_id"]
-    keep = [c for c in (documents.columns if keep is None else keep) if c not in made]
-    form = canonical(F.col(text))
-    rows = documents.select(*(f"`{c}`" for c in keep), form.alias("__form")).select(*(f"`{c}`" for c in keep), F.length("__form").cast("long").alias("canonical_chars"), F.when(F.col("__form") != "", F.sha2("__form", 256)).alias("digest"))
-    small = digests.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES
-    found = rows.join(F.broadcast(digests) if small else digests, F.col("digest") == F.col("__digest"), "left")
-    return found.select(*(f"`{c}`" for c in keep), "canonical_chars", "digest", F.col("__license").alias("license_id"))
+    names = [f"`{c}`" for c in (documents.columns if keep is None else keep) if c not in made]
+    whole = canonical(F.col(text), whole=True)
+    # most texts have no such line, and so but one form
+    less = F.when(_lower(F.col(text)).rlike(DROPPED_LINE), canonical(F.col(text)))
+    rows = documents.select(*names, whole.alias("__whole"), less.alias("__less"))
+    sha = lambda c: F.when(F.col(c) != "", F.sha2(c, 256))
+    form = F.coalesce("__less", "__whole")
+    rows = rows.select(*names, F.length(form).cast("long").alias("canonical_chars"), sha("__whole").alias("__digest"), F.when(F.col("__less").isNull(), sha("__whole")).otherwise(sha("__less")).alias("digest"))
+    for n, column in enumerate(("digest", "__digest")):
+        own = digests.select(F.col("digest").alias(f"__d{n}"), F.col("license_id").alias(f"__l{n}"))
+        rows = rows.join(own, F.col(column) == F.col(f"__d{n}"), "left")
+    return rows.select(*names, "canonical_chars", "digest", F.coalesce("__l0", "__l1").alias("license_id"))
+
+
+def notices(documents: DataFrame, known: DataFrame | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns with the number of each line (from 1) that is a known text of its own, and its license_id."""
+    digests = _bounded(known_digests(documents.sparkSession, known)).withColumnsRenamed({"digest": "__digest"})
+    names = [f"`{c}`" for c in (documents.columns if keep is None else keep) if c not in ("line", "license_id")]
+    lines = documents.select(*names, F.posexplode(canonical_lines(F.col(text))).alias("__at", "__form")).where("trim(__form) <> ''")
+    found = lines.join(digests, F.sha2(F.trim("__form"), 256) == F.col("__digest"))
+    return found.select(*names, (F.col("__at") + 1).cast("long").alias("line"), "license_id")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), keep=["doc_id"])
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    inside = notices(docs, keep=["doc_id"]).groupBy(F.col("doc_id").alias("__id")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))  # at most the known ids
+    found = scan(docs, keep=["doc_id"]).join(inside, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return found.select("doc_id", "canonical_chars", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def form(x: str) -> str:
-        t = f"lower(coalesce({x}, ''))"
-        t = f"regexp_replace(replace({t}, chr(13), chr(10)), {quote(COPYRIGHT_LINE)}, '', 'g')"
+    def spelled(t: str, between: str) -> str:
+        t = f"' ' || regexp_replace({t}, {quote(between)}, '  ', 'g') || ' '"
         for a, b in SPELLINGS:
-            if a != b:
-                t = f"replace({t}, {quote(a)}, {quote(b)})"
-        t = f"regexp_replace({t}, {quote(TITLE_LINE)}, '', 'g')"
-        return f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-
-    known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+            t = f"replace({t}, {quote(f' {a} '.replace(' ', '  ')[1:-1])}, {quote(f' {b} '.replace(' ', '  ')[1:-1])})"
+        return f"regexp_replace({t}, ' +', ' ', 'g')"
+
+    def forms(x: str) -> str:
+        t = f"replace(lower(coalesce({x}, '')), chr(13), chr(10))"
+        less = f"regexp_replace({t}, {quote(DROPPED_LINE)}, '', 'g')"
+        return f"trim({spelled(less, LETTERS)}) AS f, trim({spelled(t, LETTERS)}) AS g"
+
+    LETTERS = r"[^\p{L}\p{N}]+"
+    broken = "replace(replace(lower(coalesce(text, '')), chr(13), chr(10)), chr(10), ' ' || chr(10) || ' ')"
+    lines = spelled(broken, r"[^\p{L}\p{N}\n]+")
+    known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN + full_texts())
     return (
-        f"WITH k AS (SELECT sha256(f) AS digest, min(i) AS license_id FROM (SELECT i, {form('t')} AS f FROM (VALUES {known}) v(i, t)) WHERE f <> '' GROUP BY 1), "
-        f"d AS (SELECT doc_id, {form('text')} AS f FROM documents) "
-        "SELECT doc_id, CAST(length(f) AS BIGINT) AS canonical_chars, x.digest, license_id FROM (SELECT *, CASE WHEN f <> '' THEN sha256(f) END AS digest FROM d) x LEFT JOIN k ON x.digest = k.digest"
+        f"WITH v AS MATERIALIZED (SELECT i, {forms('t')} FROM (VALUES {known}) v(i, t)), "
+        "k AS MATERIALIZED (SELECT sha256(f) AS digest, min(i) AS license_id FROM (SELECT i, f FROM v UNION ALL SELECT i, g FROM v) WHERE f <> '' GROUP BY 1), "
+        f"d AS MATERIALIZED (SELECT doc_id, {forms('text')} FROM documents), "
+        f"l AS (SELECT doc_id, trim(unnest(string_split({lines}, chr(10)))) AS f FROM documents), "
+        "n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM l JOIN k ON f <> '' AND sha256(f) = k.digest GROUP BY doc_id) "
+        "SELECT x.doc_id, CAST(length(f) AS BIGINT) AS canonical_chars, x.digest, coalesce(k.license_id, w.license_id) AS license_id, coalesce(notices, '') AS notices "
+        "FROM (SELECT *, CASE WHEN f <> '' THEN sha256(f) END AS digest, CASE WHEN g <> '' THEN sha256(g) END AS digest2 FROM d) x "
+        "LEFT JOIN k ON x.digest = k.digest LEFT JOIN k w ON x.digest2 = w.digest LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM x.doc_id"
     )
 
 
