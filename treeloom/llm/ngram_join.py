@@ -309,9 +309,13 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
     facts = map_texts(docs, "text", ["doc"], PROFILE, lambda batch, buf, offsets: profile(batch, buf, offsets, k))
     facts = scratch.cut(facts)
     sets = ["n_shingles", "set_a", "set_b"]
-    first = facts.where("n_shingles > 0 and doc is not null").groupBy(*sets).agg(F.min("doc").alias("rep"))
-    mapped = scratch.cut(facts.join(first, sets, "left").select("doc", "n_shingles", "rep", F.expr("case when doc = rep then sketch end").alias("sketch")))
-    scratch.drop(facts)
+    linked = F.expr("n_shingles > 0 and doc is not null")
+    # a table of its own: the join below then has two plain sides, and a set with many copies is split over tasks
+    first = scratch.cut(facts.where(linked).groupBy(*sets).agg(F.min("doc").alias("rep")))
+    with_rep = facts.where(linked).join(first, sets).select("doc", "n_shingles", "rep", F.expr("case when doc = rep then sketch end").alias("sketch"))
+    alone = facts.where(~F.coalesce(linked, F.lit(False))).select("doc", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(facts.schema["sketch"].dataType).alias("sketch"))
+    mapped = scratch.cut(with_rep.unionByName(alone))
+    scratch.drop(facts, first)
     sizes = mapped.where("doc = rep").groupBy("doc").agg(F.max("n_shingles").alias("n"))
     sketches = mapped.where("doc = rep").select("doc", F.col("n_shingles").alias("n"), "sketch").distinct()
     bands = Bands(part, whole)
