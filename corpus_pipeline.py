@@ -34,8 +34,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: the one with the least id."""
-    found = ngram_join.classes(docs)
+    """One document of each component of links at five words and a similarity of 0.8: the one with the least id."""
+    found = ngram_join.classes(docs, k=5, part=80)
     stays = found.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.join(stays, "doc_id", "left_semi")
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
