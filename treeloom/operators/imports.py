@@ -6,28 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions.text import base_name, dir_name, stem
-from treeloom.operators.graph import reachable
+from treeloom.operators.graph import module_kind, reachable
 from treeloom.runtime import Scratch
 
 #: File extensions of modules, tried in this order.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
 #: Base names of entry files.
 ENTRIES = ["index", "main", "app", "server"]
+#: Convention files of app folders, the exports taken from each of them, and those taken from routes.
+CONVENTION_FILES = ["page", "layout", "template", "loading", "error", "not-found", "default", "route"]
+CONVENTION_EXPORTS = ["default", "generateMetadata", "metadata", "generateViewport", "viewport", "generateStaticParams", "dynamic", "dynamicParams", "revalidate", "fetchCache", "runtime", "preferredRegion", "maxDuration"]
+ROUTE_EXPORTS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 
 
 def is_entry(path: Column) -> Column:
     """P18"""
-    return F.lower(stem(path)).isin(*ENTRIES)
+    return stem(path).isin(*ENTRIES)
 
 
 def is_test(path: Column) -> Column:
     """P18"""
-    return base_name(path).rlike(r"(?i)(^|\.)(test|spec)\.") | path.contains("__tests__/")
+    return _has_part(path, "test", "spec") | path.contains("__tests__")
 
 
 def is_config(path: Column) -> Column:
     """P18"""
-    return base_name(path).rlike(r"(?i)(^|\.)(config|setup)\.")
+    return _has_part(path, "config", "setup")
+
+
+def _has_part(path: Column, *names: str) -> Column:
+    return F.arrays_overlap(F.split(base_name(path), r"\."), F.array(*map(F.lit, names)))
+
+
+def framework_reserved(path: Column, name: Column) -> Column:
+    """Exports that the framework itself takes from the convention files of an app folder."""
+    convention = path.contains("/app/") & stem(path).isin(*CONVENTION_FILES)
+    return convention & (name.isin(*CONVENTION_EXPORTS) | ((stem(path) == "route") & name.isin(*ROUTE_EXPORTS)))
 
 
 def unused_imports(imports: DataFrame, references: DataFrame) -> DataFrame:
@@ -37,8 +51,9 @@ def unused_imports(imports: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def unused_exports(exports: DataFrame, imported: DataFrame) -> DataFrame:
-    """Exports whose name no importer of the file takes; a star import takes all; re-exports, types, ``*`` and entry or test files are exempt."""
-    own = exports.where("kind not in ('reexport', 'type', 'all')").where(~is_entry(F.col("file_path")) & ~is_test(F.col("file_path")))
+    """Exports whose name no importer of the file takes; a star import takes all; re-exports, types, ``*``, entry or test files and exports that a framework takes are exempt."""
+    path = F.col("file_path")
+    own = exports.where("kind not in ('reexport', 'type', 'all')").where(~is_entry(path) & ~is_test(path) & ~framework_reserved(path, F.col("name").cast("string")))
     star = imported.where("name = '*'").select("file_path").distinct()
     return own.join(star, "file_path", "left_anti").join(imported.select("file_path", "name").distinct(), ["file_path", "name"], "left_anti")
 
@@ -117,3 +132,21 @@ def type_only_lines(files: DataFrame) -> DataFrame:
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def module_summary(files: DataFrame, imports: DataFrame, exports: DataFrame, builtins: list[str]) -> DataFrame:
+    """A10: one row of files, imports, exports, distinct packages, and imports by kind.
+
+    ``imports`` holds (source, import_type, is_type_only), a row for each statement.
+    """
+    kind = module_kind(F.col("source"), builtins)
+    counted = imports.agg(
+        F.count("*").alias("imports"),
+        F.count_distinct(F.when(kind == "package", F.col("source"))).alias("packages"),
+        *(F.count_if(kind == k).alias(f"{k}_imports") for k in ("relative", "absolute")),
+        F.count_if(F.col("import_type") == "dynamic").alias("dynamic_imports"),
+        F.count_if("is_type_only").alias("type_only_imports"),
+        F.count_if(F.col("import_type") == "require").alias("require_imports"),
+    )
+    # one row each
+    return files.agg(F.count("*").alias("files")).crossJoin(exports.agg(F.count("*").alias("exports"))).crossJoin(counted)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import scoring as S
 from treeloom.functions import text
-from treeloom.operators import flow, graph, imports, lsh, metrics
+from treeloom.operators import clones, flow, graph, imports, lsh, metrics
 from treeloom.runtime import Scratch
 from treeloom.sources import scripts
 from treeloom.sources.config import Config
@@ -63,7 +63,9 @@ class Project:
         m = m.withColumn("zone", graph.zone(F.col("ca"), F.col("instability"), F.col("abstractness"), F.col("distance"))).withColumn("risk", graph.module_risk(F.col("ca") + F.col("ce"), F.col("distance")))
         names = self._names(nodes)
         members = scc.join(names, "id").withColumn("n", F.expr("count(*) over (partition by component)")).where("n > 1")
-        return {"edges": edges, "modules": m, "cycles": members.select("component", "name", "n"), "orphans": imports.orphans(self.snapshot.select("file_path"), inner, self.scratch)}
+        dag = graph.condensation(scc, self._numbered_edges(live))
+        chains = graph.longest_chains(scc.select("id", "component"), dag, self.scratch)
+        return {"edges": edges, "chains": chains, "modules": m, "cycles": members.select("component", "name", "n"), "orphans": imports.orphans(self.snapshot.select("file_path"), inner, self.scratch)}
 
     def _names(self, nodes: DataFrame) -> DataFrame:
         return nodes.select(F.xxhash64("id").alias("id"), F.col("id").alias("name"))
@@ -96,37 +98,55 @@ class Project:
         out = metrics.class_coupling(named.union(taken.distinct()), ["import", "instantiation", "inheritance"])
         return out.withColumn("risk_level", S.risk(F.col("coupling"), self.config.coupling.low, self.config.coupling.medium))
 
+    def _fragments(self) -> DataFrame:
+        """Functions large enough to be compared."""
+        c = self.config.clones
+        return self._rows("functions").where((F.col("end_line") - F.col("start_line") + 1 >= c.least_lines) & (F.col("node_count") >= c.least_nodes))
+
+    def modules(self) -> DataFrame:
+        """A10"""
+        made = self._rows("imports").groupBy("file_path", "source", "line").agg(F.min("import_type").alias("import_type"), F.bool_and("is_type_only").alias("is_type_only"))
+        return imports.module_summary(self.snapshot, made, self._rows("exports"), BUILTINS)
+
     def clones(self) -> DataFrame:
         """Near-duplicate functions by 4-gram shingles of normalised lines."""
-        c = self.config.clones
         lines = self.snapshot.select("file_path", F.split("content", "\n").alias("lines"))
-        spans = self._rows("functions").where((F.col("end_line") - F.col("start_line") + 1 >= c.least_lines) & (F.col("node_count") >= c.least_nodes))
+        spans = self._fragments()
         cut = spans.join(lines, "file_path").select(F.xxhash64("file_path", "start_line", "name").alias("id"), F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
         words = cut.select("id", F.explode(F.array(F.filter(F.split(text.strip_comments(F.col("content")), r"\W+"), lambda w: w != ""))).alias("w"))
         named = spans.select(F.xxhash64("file_path", "start_line", "name").alias("id"), F.concat_ws(":", "file_path", "start_line", "name").alias("place"))
-        pairs = lsh.near_duplicates(words.select("id", F.array_sort(F.array_distinct(text.shingles(F.col("w"), 4))).alias("features")), c.similarity)
+        pairs = lsh.near_duplicates(words.select("id", F.array_sort(F.array_distinct(text.shingles(F.col("w"), 4))).alias("features")), self.config.clones.similarity)
         return pairs.join(named.toDF("id1", "place1"), "id1").join(named.toDF("id2", "place2"), "id2").select("place1", "place2", "jaccard")
 
-    def summary(self) -> DataFrame:
-        """One row of totals, penalties, score and grade from the analyses' one-row summaries."""
+    def summary(self, compliance: float = 1.0) -> DataFrame:
+        """One row of totals, all seven penalties, score and grade from the analyses' one-row summaries.
+
+        ``compliance`` is the share of architecture rules that hold; no rules are checked here, so by default all do.
+        """
         f = self.functions().agg(F.count("*").alias("functions"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.count_if(F.col("risk_level") == "high").alias("high"), F.count_if(F.col("risk_level") == "medium").alias("medium"))
         files = self.snapshot.agg(F.count("*").alias("files"), F.count("parse_error").alias("failed"))
         d = self.dead_code()
         dead = d["statements"].agg(F.count_if(F.col("severity") == 3).alias("critical"), F.count_if(F.col("severity") == 2).alias("warning"), F.count_if(F.col("severity") == 1).alias("info"))
         unused = d["functions"].agg(F.count("*").alias("unused_functions"))
         c = self.coupling().agg(F.count("*").alias("classes"), F.count_if(F.col("risk_level") == "high").alias("high_coupling"), F.count_if(F.col("risk_level") == "medium").alias("medium_coupling"))
+        pairs = self.clones().select(F.col("place1").alias("id1"), F.col("place2").alias("id2"))
+        fragments = self._fragments().agg(F.count("*").alias("fragments"))
+        copied = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct().agg(F.count("*").alias("clones"))
         deps = self.dependencies()
+        deepest = deps["chains"].agg(F.coalesce(F.max("length") - 1, F.lit(0)).alias("depth"))
         cyc = deps["cycles"].agg(F.count_distinct("name").alias("in_cycles"))
         msd = deps["modules"].agg(F.coalesce(F.avg("distance"), F.lit(0.0)).alias("deviation"))
         row = files
-        for part in (f, dead, unused, c, cyc, msd):  # one row each
+        for part in (f, dead, unused, c, cyc, msd, fragments, copied, deepest):  # one row each
             row = row.crossJoin(part)
         col = F.col
         penalties = [
             S.complexity_penalty(col("high"), col("medium"), col("functions")),
             S.dead_code_penalty(col("critical"), col("warning") + col("unused_functions"), col("info"), col("files")),
             S.coupling_penalty(col("high_coupling"), col("medium_coupling"), col("classes")),
-            S.dependency_penalty(col("files"), col("in_cycles"), F.lit(0), col("deviation")),
+            S.duplication_penalty(clones.duplication_percent(col("clones"), col("fragments"))),
+            S.dependency_penalty(col("files"), col("in_cycles"), col("depth"), col("deviation")),
+            S.architecture_penalty(F.lit(compliance)),
             S.parse_error_penalty(col("failed"), col("files")),
         ]
         valid = S.valid_summary([col("functions"), col("files")], [])

@@ -245,14 +245,13 @@ def unused_imports(spark, d):
     return imports.unused_imports(o, r).select(F.col("local").alias("o_orderkey"))
 
 
-@query("SELECT file_path, name FROM (SELECT 'm' || s_nationkey || '/x.ts' AS file_path, s_suppkey AS name FROM supplier) e WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = name AND l_quantity = 50 AND l_linenumber = 7) AND file_path NOT IN (SELECT 'm' || n_nationkey || '/x.ts' FROM nation WHERE n_regionkey = 0)")
+@query("SELECT file_path, name FROM (SELECT 'm/' || source || '.ts' AS file_path, doc_id AS name FROM documents) e WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = name) AND file_path <> 'm/src1.ts'")
 def unused_exports(spark, d):
-    """A star import suppresses all of a file."""
-    path = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"), F.lit("/x.ts"))
-    e = table(spark, d, "supplier").select(path("s_nationkey").alias("file_path"), F.col("s_suppkey").cast("string").alias("name"), F.lit("named").alias("kind"), F.lit("function").alias("declaration"))
-    used = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 7").select(F.col("l_suppkey").cast("string").alias("name")).distinct()
+    """Documents are exports of their source's file, labels use them; a star import of one file takes all of it."""
+    e = table(spark, d, "documents").select(F.concat(F.lit("m/"), "source", F.lit(".ts")).alias("file_path"), F.col("doc_id").cast("string").alias("name"), F.lit("named").alias("kind"), F.lit("function").alias("declaration"))
+    used = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("name")).distinct()
     taken = e.select("file_path", "name").join(used, "name", "left_semi").select("file_path", "name")
-    star = table(spark, d, "nation").where("n_regionkey = 0").select(path("n_nationkey").alias("file_path"), F.lit("*").alias("name"))
+    star = spark.createDataFrame([("m/src1.ts", "*")], "file_path string, name string")
     return imports.unused_functions(e, taken.union(star)).select("file_path", F.col("name").cast("long").alias("name"))
 
 
@@ -503,11 +502,11 @@ def score_penalties(spark, d):
     return _penalties(spark, d)
 
 
-@query(_DIRS + _PENALTIES + ", s AS (SELECT directory, n, greatest(0, least(100, 100 - complexity_penalty - dead_penalty - coupling_penalty - duplication_penalty - dependency_penalty)) AS score, complexity_penalty, dependency_penalty FROM p) SELECT directory, CAST(score AS BIGINT) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade, score >= 70 AS healthy, CAST(greatest(0, least(100, 100 - round(complexity_penalty * 100.0 / 20))) AS BIGINT) AS complexity_score, CAST(greatest(0, least(20, round(dependency_penalty / 16.0 * 20))) AS BIGINT) AS dependency_scaled, CASE WHEN n >= 1000 THEN 'Enterprise' WHEN n >= 200 THEN 'Large' WHEN n >= 50 THEN 'Medium' WHEN n >= 10 THEN 'Small' ELSE 'Micro' END AS scale FROM s")
+@query(_DIRS + _PENALTIES + ", s AS (SELECT directory, n, greatest(0, least(100, 100 - complexity_penalty - dead_penalty - coupling_penalty - duplication_penalty - dependency_penalty - architecture_penalty - parse_penalty)) AS score, complexity_penalty, dependency_penalty FROM p) SELECT directory, CAST(score AS BIGINT) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade, score >= 70 AS healthy, CAST(greatest(0, least(100, 100 - round(complexity_penalty * 100.0 / 20))) AS BIGINT) AS complexity_score, CAST(greatest(0, least(20, round(dependency_penalty / 16.0 * 20))) AS BIGINT) AS dependency_scaled, CASE WHEN n >= 1000 THEN 'Enterprise' WHEN n >= 200 THEN 'Large' WHEN n >= 50 THEN 'Medium' WHEN n >= 10 THEN 'Small' ELSE 'Micro' END AS scale FROM s")
 def score_health(spark, d):
     """K7-K9, K12, K13"""
     p = _penalties(spark, d)
-    score = S.health_score([F.col(f"{c}_penalty") for c in ("complexity", "dead", "coupling", "duplication", "dependency")])
+    score = S.health_score([F.col(f"{c}_penalty") for c in ("complexity", "dead", "coupling", "duplication", "dependency", "architecture", "parse")])
     return p.withColumn("score", score).select(
         "directory",
         "score",
@@ -562,3 +561,25 @@ def union_distinct(spark, d):
     """U1, U4, U7"""
     a = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"))
     return a.union(table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")).distinct().agg(F.count("*").alias("n"))
+
+
+_PLACES = ["src/app/page.tsx", "src/app/route.ts", "src/app/deep/not-found.js", "lib/app.test.ts", "pkg/Index.ts", "pkg/index.ts", "pkg/app.mjs", "x.spec", "a/__tests__x.js", "c/jest.config", "c/setup.ts", "app/page.tsx"]
+_EXPORTED = ["default", "GET", "metadata", "helper"]
+_WHERE = f"p AS (SELECT DISTINCT list_extract({_PLACES}, CAST(o_custkey % {len(_PLACES)} AS INTEGER) + 1) AS file_path, list_extract({_EXPORTED}, CAST(o_orderkey % 4 AS INTEGER) + 1) AS name FROM orders), s AS (SELECT *, regexp_extract(file_path, '([^/]*)$', 1) AS base, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM p)"
+
+
+@query(f"WITH {_WHERE} SELECT file_path, name, stem IN ('index', 'main', 'app', 'server') AS entry, list_has_any(string_split(base, '.'), ['test', 'spec']) OR contains(file_path, '__tests__') AS test, list_has_any(string_split(base, '.'), ['config', 'setup']) AS config, contains(file_path, '/app/') AND stem IN {tuple(imports.CONVENTION_FILES)} AND (name IN {tuple(imports.CONVENTION_EXPORTS)} OR (stem = 'route' AND name IN {tuple(imports.ROUTE_EXPORTS)})) AS reserved FROM s")
+def file_predicates(spark, d):
+    """Each kind of path with each kind of export."""
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    rows = table(spark, d, "orders").select(pick(_PLACES, "o_custkey").alias("file_path"), pick(_EXPORTED, "o_orderkey").alias("name")).distinct()
+    path = F.col("file_path")
+    return rows.select("file_path", "name", imports.is_entry(path).alias("entry"), imports.is_test(path).alias("test"), imports.is_config(path).alias("config"), imports.framework_reserved(path, F.col("name")).alias("reserved"))
+
+
+@query("SELECT (SELECT count(*) FROM pages) AS files, (SELECT count(*) FROM labels) AS exports, count(*) AS imports, count(DISTINCT CASE WHEN k = 'package' THEN s END) AS packages, count(*) FILTER (WHERE k = 'relative') AS relative_imports, count(*) FILTER (WHERE k = 'absolute') AS absolute_imports, count(*) FILTER (WHERE t = 'dynamic') AS dynamic_imports, count(*) FILTER (WHERE doc_id % 7 = 0) AS type_only_imports, count(*) FILTER (WHERE t = 'require') AS require_imports FROM (SELECT doc_id, t, s, CASE WHEN starts_with(s, './') THEN 'relative' WHEN starts_with(s, '/') THEN 'absolute' WHEN s = 'src1' THEN 'builtin' ELSE 'package' END AS k FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'named' WHEN 'fr' THEN 'dynamic' ELSE 'require' END AS t, CASE doc_id % 3 WHEN 0 THEN './' || source WHEN 1 THEN '/' || source ELSE source END AS s FROM documents))")
+def module_summary(spark, d):
+    """A10: documents are imports of their source, pages are files, labels exports."""
+    n, source = F.col("doc_id") % 3, F.col("source")
+    made = table(spark, d, "documents").select(F.when(n == 0, F.concat(F.lit("./"), source)).when(n == 1, F.concat(F.lit("/"), source)).otherwise(source).alias("source"), F.when(F.col("lang") == "en", "named").when(F.col("lang") == "fr", "dynamic").otherwise("require").alias("import_type"), (F.col("doc_id") % 7 == 0).alias("is_type_only"))
+    return imports.module_summary(table(spark, d, "pages"), made, table(spark, d, "labels"), ["src1"])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import sets, text
-from treeloom.operators import flow, graph, grouping, imports, lsh, metrics, semantic, stats, trees
+from treeloom.operators import clones, flow, graph, grouping, imports, lsh, metrics, semantic, stats, trees
 from treeloom.plans import frames as R
 from treeloom.runtime import Scratch, spread, table
 from treeloom.streaming import windows
@@ -120,6 +120,25 @@ def group_metadata(spark, d):
     return grouping.group_meta(grouping.connected(p, 0.9, Scratch(spark)), p).withColumn("similarity", r6(F.col("similarity")))
 
 
+_CLONE_IDS = "SELECT id1 AS id FROM sp UNION SELECT id2 FROM sp UNION SELECT id FROM g"
+
+
+@query(_CONNECTED + f", c AS (SELECT count(*) AS clones FROM ({_CLONE_IDS})) SELECT count(*) AS pairs, round(coalesce(avg(similarity), 0), 6) AS average_similarity, count(*) FILTER (WHERE pair_type = 1) AS type1, count(*) FILTER (WHERE pair_type = 2) AS type2, count(*) FILTER (WHERE pair_type = 3) AS type3, count(*) FILTER (WHERE pair_type = 4) AS type4, (SELECT count(DISTINCT group_id) FROM g) AS groups, (SELECT clones FROM c) AS clones, round((SELECT clones FROM c) / (SELECT count(*) FROM supplier) * 100, 6) AS duplication FROM sp")
+def clone_statistics(spark, d):
+    """N55, N56, U7"""
+    p = _supplier_pairs(spark, d)
+    fragments = table(spark, d, "supplier").agg(F.count("*").alias("fragments"))  # one row
+    out = clones.statistics(p, grouping.connected(p, 0.9, Scratch(spark))).crossJoin(fragments)
+    return out.select(*(r6(F.col(c)).alias(c) if c == "average_similarity" else c for c in out.columns if c != "fragments"), r6(clones.duplication_percent(F.col("clones"), F.col("fragments"))).alias("duplication"))
+
+
+@query(_CONNECTED + "SELECT 'f' || (id % 3) AS file_path, count(*) AS clones FROM g GROUP BY 1")
+def clones_by_file(spark, d):
+    """A11"""
+    p = _supplier_pairs(spark, d)
+    return clones.clones_by_file(p, grouping.connected(p, 0.9, Scratch(spark)), _supplier_items(spark, d))
+
+
 @query()
 def group_k_core(spark, d):
     """N44"""
@@ -227,11 +246,11 @@ def graph_orphans(spark, d):
 # -- cohesion, reachability, data flow
 
 
-@query("WITH RECURSIVE mv AS MATERIALIZED (SELECT DISTINCT s_nationkey AS class, l_suppkey AS method, l_partkey AS var FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_linenumber <= 2), e AS MATERIALIZED (SELECT DISTINCT a.method AS x, b.method AS y FROM mv a JOIN mv b ON a.class = b.class AND a.var = b.var), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS component FROM reach GROUP BY x) SELECT s_nationkey AS class, count(DISTINCT coalesce(component, s_suppkey)) AS lcom4 FROM supplier LEFT JOIN c ON x = s_suppkey GROUP BY 1")
+@query("WITH RECURSIVE mv AS MATERIALIZED (SELECT DISTINCT s_nationkey AS class, l_suppkey AS method, l_partkey AS var FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), e AS MATERIALIZED (SELECT DISTINCT a.method AS x, b.method AS y FROM mv a JOIN mv b ON a.class = b.class AND a.var = b.var), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS component FROM reach GROUP BY x) SELECT s_nationkey AS class, count(DISTINCT coalesce(component, s_suppkey)) AS lcom4 FROM supplier LEFT JOIN c ON x = s_suppkey GROUP BY 1")
 def lcom4(spark, d):
     """A17"""
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("class"), F.col("s_suppkey").alias("method"))
-    used = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber <= 2").select(F.col("l_suppkey").alias("method"), F.col("l_partkey").alias("var")).distinct()
+    used = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("method"), F.col("l_partkey").alias("var")).distinct()
     calls = spark.createDataFrame([], "class int, method long, callee long")
     return metrics.lcom4(used.join(s, "method").select("class", "method", "var"), s, calls, Scratch(spark))
 

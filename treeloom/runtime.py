@@ -39,10 +39,12 @@ def local_session(name: str = "treeloom", cpus: str = "8", partitions: str = "8"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage; a temporary one only where the cluster names none."""
+    """The folder for cut lineage; a temporary one only where master and executors are one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="treeloom-")
