@@ -358,7 +358,7 @@ def tree_features(spark, d):
 
 @query()
 def tree_edit_distance(spark, d):
-    """Pages of neighbouring ids whose sizes are comparable; the distance comes last."""
+    """Pages of neighbouring ids whose sizes are comparable; the distance comes last."""
     t = table(spark, d, "pages").select("page_id", trees.html_tree(F.col("html")).alias("t"))
     t = Scratch(spark).cut(t.select("page_id", "t.labels", "t.lml", "t.size"))
     a = t.select(F.col("page_id").alias("id1"), F.col("labels").alias("l1"), F.col("lml").alias("m1"), F.col("size").alias("n1"))
