@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -200,6 +201,50 @@ def test_identity_terms_weigh_alike(spark):
     assert max(neutral) < 0.5 and max(neutral) - min(neutral) < 0.3 and score("the vile scum christian lamp") > 0.7
 
 
+def _buffers(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def test_counterfactual_texts_swap_every_mention():
+    texts = ["A Woman met a woman, a womanly one.", "", "no mention", "the blind and the deaf " + "lamp " * 300_000 + "BLIND"]
+    got = toxicity.counterfactuals(*_buffers(texts))
+    terms = {t: g for g in toxicity.IDENTITY_TERMS for t in g}
+    want = {(0, "woman"), (3, "blind"), (3, "deaf")}
+    assert len(got) == len(want)
+    for row, swapped in got:
+        made = swapped.decode()
+        fits = []
+        for own in (t for r, t in want if r == row):
+            for other in terms[own]:
+                if other != own and re.sub(rf"(?i)(?<![a-z]){own}(?![a-z])", other, texts[row]) == made:
+                    fits.append(own)
+        assert len(fits) == 1
+        want.discard((row, fits[0]))
+    assert not want
+
+
+def test_the_swap_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        words = [r.choice(["the", "lamp", "river", "stone", "and", "then"]) for _ in range(10)]
+        words += (["vile"] if bad and r.random() < 0.6 else []) + ([r.choice(["refugees", "immigrants"] if bad else ["natives", "foreigners"])] if r.random() < 0.95 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    rows.append((0, "another text of the same id"))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [f"the {t} and the {w} then" for t in ("refugees", "immigrants") for w in ("lamp", "river", "stone")]
+    share, gap = {}, {}
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        model = toxicity.learn(docs, marks, penalty=penalty)
+        got = model.score(*_buffers(neutral))
+        other = model.score(*_buffers([t.replace("refugees", "natives").replace("immigrants", "natives") for t in neutral]))
+        share[penalty], gap[penalty] = (got >= toxicity.THRESHOLD).mean(), np.abs(got - other).mean()
+    assert share[0.0] > 0.9 and share[toxicity.SWAP_PENALTY] < 0.1 and gap[toxicity.SWAP_PENALTY] < gap[0.0] / 2
+
+
 # -- secrets
 
 

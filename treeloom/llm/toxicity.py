@@ -2,22 +2,26 @@
 
 Features are words and word beginnings (4, 5 and 6 bytes) that a text holds, by hash.
 Grouped counts over the labelled sample select those whose rate in toxic texts departs
-significantly; a logistic model is fitted on them.  Its loss adds, for identity terms, the
-squared change of the score's log-odds when a term in a labelled text is swapped for another
-of its group, and for every pair of terms of a group once, so that a neutral mention of a group
-moves the score as little as any other group's, and no group's name is evidence by itself.
+significantly; a logistic model is fitted on them.  For every labelled text and every identity
+term that it mentions, the text is written again with that term swapped for another of its
+group, and the counterfactual text is featurised like the original; the loss adds the mean
+squared change of log-odds between the two, so that a neutral mention of a group moves the
+score as little as any other group's.  Bare terms of a group are held against each other once
+beside that, as labelled texts need not mention them all.
 
 Learning is bounded: at most ``SAMPLE`` labelled rows and ``SELECTED`` features; scoring reads
 every text whole in one map without a shuffle.
 
 Defined cases: null text is empty and scores as the bias; labels that are null are left out,
-repeated labels of an id become one (the greatest); without labels of both kinds every score
+repeated labels of an id become one (the greatest), of repeated ids' texts the least in byte order
+is learnt from; without labels of both kinds every score
 is the share of toxic labels, or 0 without labels; repeated rows stay; an empty table gives
 no rows; columns that share a name with a result are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,40 +86,94 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def swaps(features: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature changes (lost, gained) of counterfactual texts: terms found in labelled texts, and each pair of a group."""
-    r = np.random.default_rng(seed)
+def _term(word: str) -> int:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(Words(data, np.array([0, len(data)]), NOT_ALNUM).h[0])
+
+
+def _swapped(buf: np.ndarray, w: Words, row: int, term: np.uint64, other: bytes) -> bytes:
+    """The row's text with every mention of the term replaced."""
+    lo, hi = w.first[row], w.first[row + 1]
+    at = lo + np.flatnonzero(w.h[lo:hi] == term)
+    cut = np.concatenate(([w.offsets[row]], w.end[at])), np.concatenate((w.start[at], [w.offsets[row + 1]]))
+    return other.join(buf[x:y].tobytes() for x, y in zip(*cut))
+
+
+def counterfactuals(buf: np.ndarray, offsets: np.ndarray, seed: int = 5) -> list[tuple[int, bytes]]:
+    """(row, swapped text): for each identity term that a text mentions as a word, the whole text with that
+    term replaced by another of its group, which a hash of the row's text chooses.  No mention is left out."""
+    terms = {_term(t): (group, t) for group in IDENTITY_TERMS for t in group}
+    w = Words(buf, offsets, NOT_ALNUM)
+    at = np.flatnonzero(np.isin(w.h, np.fromiter(terms, np.uint64, len(terms))))
+    found = sorted(set(zip(w.row[at].tolist(), w.h[at].tolist())))
+    out = []
+    for row, h in found:
+        group, own = terms[h]
+        others = [t for t in group if t != own]
+        pick = zlib.crc32(buf[offsets[row] : offsets[row + 1]].tobytes(), seed) + h
+        out.append((row, _swapped(buf, w, row, np.uint64(h), others[pick % len(others)].encode())))
+    return out
+
+
+def changes(features: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(row, places lost, places gained) of every counterfactual text, featurised like its original, one at a time."""
+    rows, lost, gained = [], [], []
+    held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+    for row, swapped in counterfactuals(buf, offsets):
+        if held[0] != row:
+            own = buf[offsets[row] : offsets[row + 1]]
+            held = row, text_features(own, np.array([0, len(own)]))[0]
+        other = text_features(np.frombuffer(swapped, np.uint8), np.array([0, len(swapped)]))[0]
+        rows.append(row)
+        lost.append(np.flatnonzero(np.isin(features, np.setdiff1d(held[1], other))))
+        gained.append(np.flatnonzero(np.isin(features, np.setdiff1d(other, held[1]))))
+    return np.array(rows, np.int64), lost, gained
+
+
+def terms_apart(features: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Changes between the bare sentences "a" and "b" for each two terms of a group, which labelled texts may lack."""
     place = lambda word: np.flatnonzero(np.isin(features, word_features(word)))
     out = []
     for group in IDENTITY_TERMS:
         own = [place(t) for t in group]
-        own = [x for x in own if len(x)]
-        for i, a in enumerate(own):
-            for b in own[i + 1 :]:
-                out.append((np.setdiff1d(a, b), np.setdiff1d(b, a)))
-            texts = rows[np.isin(cols, a)]
-            for _ in range(min(len(texts), 200)):
-                b = own[int(r.integers(len(own)))]
-                out.append((np.setdiff1d(a, b), np.setdiff1d(b, a)))
-    return [(a, b) for a, b in out if len(a) + len(b)]
-
-
-def fit(features: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 800, rate: float = 0.05) -> Model:
-    """Adam on the mean logistic loss, a ridge and the counterfactual penalty."""
+        out += [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for i, a in enumerate(own) for b in own[i + 1 :]]
+    return out
+
+
+def fit(
+    features: np.ndarray,
+    rows: np.ndarray,
+    cols: np.ndarray,
+    y: np.ndarray,
+    swapped: list[tuple[np.ndarray, np.ndarray]] = (),
+    ridge: float = 1e-5,
+    steps: int = 800,
+    rate: float = 0.05,
+    penalty: float = SWAP_PENALTY,
+) -> Model:
+    """Adam on the mean logistic loss, a ridge and the mean squared change of log-odds under the swaps.
+
+    ``swapped`` holds (places lost, places gained) of the counterfactual texts; equal changes are added up once.
+    """
     n, k = len(y), len(features)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
-    pairs = swaps(features, rows, cols, n)
-    pair = np.repeat(np.arange(len(pairs)), [len(a) + len(c) for a, c in pairs])
-    column = np.concatenate([np.concatenate(p) for p in pairs]) if pairs else np.zeros(0, np.int64)
-    sign = np.concatenate([np.concatenate([-np.ones(len(a)), np.ones(len(c))]) for a, c in pairs]) if pairs else np.zeros(0)
+    times: dict[tuple[bytes, bytes], list] = {}
+    for lost, gained in [*swapped, *terms_apart(features)] if penalty else []:
+        if len(lost) + len(gained):
+            times.setdefault((lost.tobytes(), gained.tobytes()), [lost, gained, 0])[2] += 1
+    pairs = list(times.values())
+    pair = np.repeat(np.arange(len(pairs)), [len(a) + len(c) for a, c, _ in pairs])
+    column = np.concatenate([x for a, c, _ in pairs for x in (a, c)]) if pairs else np.zeros(0, np.int64)
+    sign = np.concatenate([x for a, c, _ in pairs for x in (-np.ones(len(a)), np.ones(len(c)))]) if pairs else np.zeros(0)
+    weight = np.array([m for _, _, m in pairs], float)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         z = np.bincount(rows, weights=w[cols], minlength=n) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         g = np.bincount(cols, weights=d[rows], minlength=k) + ridge * w
         if len(pairs):
-            change = np.bincount(pair, weights=sign * w[column], minlength=len(pairs))
-            g += 2 * SWAP_PENALTY / len(pairs) * np.bincount(column, weights=sign * change[pair], minlength=k)
+            change = weight * np.bincount(pair, weights=sign * w[column], minlength=len(pairs))
+            g += 2 * penalty / weight.sum() * np.bincount(column, weights=sign * change[pair], minlength=k)
         g = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -123,12 +181,12 @@ def fit(features: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray,
     return Model(features, w, b)
 
 
-def learn(documents: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, penalty: float = SWAP_PENALTY) -> Model:
     """A model from at most ``sample`` labelled rows, chosen by hash of the id."""
     ship(documents.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("id")).agg(F.max(label).cast("double").alias("y"))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = documents.select(F.col(doc).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t").dropDuplicates(["id"])  # at most ``sample`` rows
+    texts = documents.select(F.col(doc).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # at most ``sample`` rows
     spark = documents.sparkSession
 
     def counted(batch, buf, offsets):
@@ -159,12 +217,25 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", doc: str
         at[at == len(sent.value)] = 0
         hit = sent.value[at] == flat
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))[hit]
-        return {"x": lists(at[hit].astype(np.int32), np.searchsorted(row, np.arange(len(first))), pa.int32())}
-
-    got = map_texts(texts, "t", ["id", "y"], [T.StructField("x", T.ArrayType(T.IntegerType()))], kept).toPandas().sort_values("id")
-    sizes = got["x"].map(len).to_numpy()
-    cols = np.concatenate([np.asarray(x, np.int64) for x in got["x"]]) if len(got) else np.zeros(0, np.int64)
-    return fit(features, np.repeat(np.arange(len(got)), sizes), cols, got["y"].to_numpy())
+        # a text's swaps: sizes of what each loses and gains, and the places themselves
+        of, lost, gained = changes(sent.value, buf, offsets) if penalty else (np.zeros(0, np.int64), [], [])
+        sizes = np.array([[len(a), len(b)] for a, b in zip(lost, gained)], np.int32).reshape(-1, 2)
+        flat_places = np.concatenate([np.concatenate(p) for p in zip(lost, gained)]) if len(of) else np.zeros(0, np.int64)
+        ends = np.arange(len(first))
+        bound = np.searchsorted(of, ends)
+        total = np.append(0, np.cumsum(sizes.sum(1)))
+        return {
+            "x": lists(at[hit].astype(np.int32), np.searchsorted(row, ends), pa.int32()),
+            "swap_sizes": lists(sizes.ravel(), 2 * bound, pa.int32()),
+            "swap_places": lists(flat_places.astype(np.int32), total[bound], pa.int32()),
+        }
+
+    ints = T.ArrayType(T.IntegerType())
+    fields = [T.StructField(c, ints) for c in ("x", "swap_sizes", "swap_places")]
+    got = map_texts(texts, "t", ["id", "y"], fields, kept).toPandas().sort_values("id")
+    flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in got[c]]) if len(got) else np.zeros(0, np.int64)
+    cut = np.split(flat("swap_places"), np.cumsum(flat("swap_sizes"))[:-1]) if len(flat("swap_sizes")) else []
+    return fit(features, np.repeat(np.arange(len(got)), got["x"].map(len).to_numpy()), flat("x"), got["y"].to_numpy(), list(zip(cut[::2], cut[1::2])), penalty=penalty)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
