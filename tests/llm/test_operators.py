@@ -171,6 +171,28 @@ def test_chat_odd_rows(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_sieve_between_components_keeps_both_ends_of_every_link():
+    r = np.random.default_rng(9)
+    base = r.choice(1 << 62, 300, replace=False).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        own = r.choice(base, r.integers(60, 300), replace=False) if r.random() < 0.4 else base[: r.integers(200, 300)]
+        sets.append(np.sort(np.append(own, r.choice(1 << 62, r.integers(1, 20)).astype(np.uint64))))
+    first = np.cumsum([0, *map(len, sets)])
+    words, bound = ngram_join.whole_sketches(np.concatenate(sets), first)
+    sketch = ngram_join.folded([words[bound[i] : bound[i + 1]].tobytes() for i in range(60)])
+    known, query = r.integers(0, 4, 60), r.random(60) < 0.5
+    got = ngram_join.sieve_apart(np.arange(60), np.diff(first), sketch, query, known, 80, 100)
+    links = 0
+    for i in range(60):
+        for j in np.flatnonzero((known != known[i]) & query[i]):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                links += 1
+                assert got[i] and got[j]
+    assert links and not got.all()
+
+
 # -- toxicity
 
 

@@ -187,6 +187,31 @@ def sieve_block(docs: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, query:
     return passed
 
 
+def sieve_apart(docs: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, query: np.ndarray, known: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """True for rows of which one may link a ``query`` row to a row of another component, both ends of the link."""
+    passed = np.zeros(len(docs), bool)
+    for y in np.flatnonzero(query):
+        at = np.flatnonzero((known != known[y]) & (np.minimum(sizes, sizes[y]) * whole >= np.maximum(sizes, sizes[y]) * part))
+        apart = np.bitwise_count(sketch[at] ^ sketch[y]).sum(1, dtype=np.int64)
+        at = at[apart <= (whole - part) * (sizes[at] + sizes[y]) // (whole + part)]
+        if len(at):
+            passed[at] = True
+            passed[y] = True
+    return passed
+
+
+def _sieve_apart(part: int, whole: int):
+    def run(batches):
+        for group in runs(batches, ["leader", "block"]):
+            docs = group.column("doc").to_numpy()
+            query = group.column("query").to_numpy(zero_copy_only=False).astype(bool)
+            passed = sieve_apart(docs, group.column("n").to_numpy(), folded(group.column("sketch").to_pylist()), query, group.column("known").to_numpy(), part, whole)
+            if passed.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group.column("leader").to_numpy()[passed]), pa.array(docs[passed])], names=["leader", "doc"])
+
+    return run
+
+
 def _sieve(part: int, whole: int):
     def run(batches):
         for group in runs(batches, ["leader", "block"]):
@@ -225,6 +250,23 @@ def survivors(star: DataFrame, sketches: DataFrame, part: int, whole: int, scrat
     return out
 
 
+def unsettled(rest: DataFrame, sketches: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
+    """The (leader, doc, c, l) rows of ``rest`` that may take part in a link between two components.
+
+    Documents outside their leader's component are held by sketch against all of the group, so that
+    the second search moves only texts that it can need.
+    """
+    lead = rest.select("leader", F.col("leader").alias("doc"), F.col("l").alias("known"), F.lit(False).alias("query")).distinct()
+    members = rest.select("leader", "doc", F.col("c").alias("known"), (F.col("c") != F.col("l")).alias("query")).union(lead)
+    load = rest.groupBy("leader").agg(F.ceil((F.count("*") + 1) / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    at = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    places = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(at))
+    dealt = members.join(load, "leader").select("leader", F.explode(places).alias("block"), "doc", "known", "query")
+    rows = dealt.join(sketches, "doc").select("leader", "block", "query", "known", "doc", "n", "sketch")
+    found = rows.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(_sieve_apart(part, whole), "leader long, doc long")
+    return scratch.cut(rest.join(found.distinct(), ["leader", "doc"], "left_semi"))
+
+
 def search_block(ids: np.ndarray, known: np.ndarray, flat: np.ndarray, first: np.ndarray, query: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all linked rows of a block.
 
@@ -347,7 +389,10 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
     both = both.select("leader", "doc", F.coalesce("c", "doc").alias("c"), F.coalesce("l", "leader").alias("l"))
     apart = both.where("c <> l").select("leader").distinct()
     rest = scratch.cut(both.join(apart, "leader", "left_semi"))
-    b = None
+    if not rest.isEmpty():
+        settled, rest = rest, unsettled(rest, sketches, part, whole, scratch)
+        scratch.drop(settled)
+        scratch.release()
     if not rest.isEmpty():
         dealt = _blocked(rest.select("leader", "doc"), sizes)
         tops = dealt.groupBy("leader").agg(F.max("block").alias("top"))
