@@ -221,11 +221,11 @@ def dependency_matrix(spark, d):
     return graph.matrix(R.import_edges(spark, d))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+@query("SELECT doc_id AS id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def graph_roots(spark, d):
-    """Parts that no large line refers to."""
-    edges = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return graph.roots(table(spark, d, "part").select(F.col("p_partkey").alias("id")), edges)
+    """Labels refer to documents; documents that nothing refers to."""
+    edges = table(spark, d, "labels").select(F.col("quality").cast("long").alias("src"), F.col("doc_id").alias("dst"))
+    return graph.roots(table(spark, d, "documents").select(F.col("doc_id").alias("id")), edges)
 
 
 @query("SELECT l_shipdate, n, total FROM (SELECT l_shipdate, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)")
@@ -384,14 +384,6 @@ def pair_metadata(spark, d):
     return t.groupBy("l_orderkey", F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).agg(F.max("l_discount").alias("s"))
 
 
-@query("WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS f FROM documents) SELECT a.doc_id AS id1, b.doc_id AS id2, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
-def jaccard_neighbours(spark, d):
-    """Word sets of documents with neighbouring ids."""
-    w = table(spark, d, "documents").select("doc_id", F.array_distinct(text.words(F.col("text"))).alias("f"))
-    a, b = w.select(F.col("doc_id").alias("id1"), F.col("f").alias("fa")), w.select(F.col("doc_id").alias("id2"), F.col("f").alias("fb"))
-    return a.join(b, F.col("id2") == F.col("id1") + 1).select("id1", "id2", r6(sets.jaccard(F.col("fa"), F.col("fb"))).alias("jaccard"))
-
-
 # -- flow (C6, C8, C14, C16, J15, N37)
 
 

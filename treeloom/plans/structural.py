@@ -67,7 +67,10 @@ def minhash_signatures(spark, d):
     return _signed(spark, d).select("id", add.alias("total"), F.array_min("sig").alias("least"), F.size("sig").cast("long").alias("slots"))
 
 
-@query(f"WITH {_SETS}, {_SIGN}, b AS (SELECT id, slot // 4 AS band, string_agg(CAST(v AS VARCHAR), ',' ORDER BY slot) AS key FROM sig GROUP BY 1, 2) SELECT DISTINCT x.id AS id1, y.id AS id2 FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id")
+_CANDIDATES = "b AS (SELECT id, slot // 4 AS band, string_agg(CAST(v AS VARCHAR), ',' ORDER BY slot) AS key FROM sig GROUP BY 1, 2), candidates AS MATERIALIZED (SELECT DISTINCT x.id AS id1, y.id AS id2 FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id)"
+
+
+@query(f"WITH {_SETS}, {_SIGN}, {_CANDIDATES} SELECT id1, id2 FROM candidates")
 def lsh_candidates(spark, d):
     """N5, N6, J3"""
     return lsh.candidates(lsh.banded(_signed(spark, d)))
@@ -80,12 +83,20 @@ def lsh_capped_candidates(spark, d):
     return lsh.capped_candidates(b, b, 3).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"WITH {_SETS}, {_SIGN} SELECT a.id AS id1, b.id AS id2, round(count(*) FILTER (WHERE a.v = b.v) / 128, 6) AS estimate FROM sig a JOIN sig b ON b.id = a.id + 1 AND a.slot = b.slot GROUP BY 1, 2")
+@query(f"WITH {_SETS}, {_SIGN}, {_CANDIDATES} SELECT id1, id2, round(count(*) FILTER (WHERE a.v = b.v) / 128, 6) AS estimate FROM candidates JOIN sig a ON a.id = id1 JOIN sig b ON b.id = id2 AND a.slot = b.slot GROUP BY 1, 2")
 def jaccard_estimates(spark, d):
-    """N4"""
-    s = _signed(spark, d)
+    """Estimates of all candidate pairs."""
+    s = Scratch(spark).cut(_signed(spark, d))  # read three times, so made once
     a, b = s.select(F.col("id").alias("id1"), F.col("sig").alias("s1")), s.select(F.col("id").alias("id2"), F.col("sig").alias("s2"))
-    return a.join(b, F.col("id2") == F.col("id1") + 1).select("id1", "id2", r6(sets.estimated_jaccard(F.col("s1"), F.col("s2"))).alias("estimate"))
+    return lsh.candidates(lsh.banded(s)).join(a, "id1").join(b, "id2").select("id1", "id2", r6(sets.estimated_jaccard(F.col("s1"), F.col("s2"))).alias("estimate"))
+
+
+@query(f"WITH {_SETS}, {_SIGN}, {_CANDIDATES}, v AS (SELECT id, list_distinct(w) AS f FROM w) SELECT id1, id2, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS jaccard FROM candidates JOIN v a ON a.id = id1 JOIN v b ON b.id = id2")
+def jaccard_words(spark, d):
+    """Word sets of all candidate pairs of documents."""
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.words(F.col("text"))).alias("f"))
+    a, b = w.select(F.col("id").alias("id1"), F.col("f").alias("fa")), w.select(F.col("id").alias("id2"), F.col("f").alias("fb"))
+    return lsh.candidates(lsh.banded(_signed(spark, d))).join(a, "id1").join(b, "id2").select("id1", "id2", r6(sets.jaccard(F.col("fa"), F.col("fb"))).alias("jaccard"))
 
 
 # -- clustering
