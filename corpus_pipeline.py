@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm import decontamination, mixing, ngram_join, quality, secrets
+from treeloom.operators.sift import sifted
 from treeloom.runtime import Scratch, table
 
 #: SQL cannot express the trained stages; each stage is tested against a brute-force version.
@@ -35,11 +36,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links at five words and a similarity of 0.8: the one with the least id."""
-    found = ngram_join.classes(docs, k=5, part=80)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(stays, "doc_id", "left_semi")
+    found = Scratch(spark).cut(ngram_join.classes(docs, k=5, part=80))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.expr("doc_id = component_id")).alias("stays"))
+    # only rows that go or share an id are joined; a sieve of fixed size lets the others pass in place
+    open_rows = F.col("__near") & F.col("doc_id").isNotNull()
+    marked = sifted(docs, "doc_id", ids.where("rows > 1 or not stays").select("doc_id"))
+    rows = marked.where(open_rows).drop("__near").join(ids.where("stays").select("doc_id"), "doc_id", "left_semi")
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return first.unionByName(docs.where("doc_id is null")).select(*_same(docs))
+    return marked.where(~open_rows).drop("__near").unionByName(first).select(*_same(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

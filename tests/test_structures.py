@@ -267,3 +267,13 @@ def test_entry_chains(spark):
     c = graph.scc(nodes, e, scratch)
     chains = graph.longest_chains(c, graph.condensation(c, e), scratch)
     assert [(r["id"], r["length"]) for r in graph.entry_chains(chains, nodes, e, c).collect()] == [(1, 3), (7, 2)]
+
+
+def test_sieve_of_ids_never_hides_a_match(spark):
+    from treeloom.operators.sift import sifted
+
+    rows = spark.range(5000).selectExpr("case when id % 7 = 0 then null else id - 2500 end as doc", "id as __other")
+    got = sifted(rows, "doc", spark.range(1000, 3000, 3).toDF("id")).toPandas()
+    inside = got.doc.isin(range(1000, 3000, 3))
+    assert len(got) == 5000 and got[inside]["__near"].all() and got[~inside]["__near"].mean() < 0.01
+    assert not sifted(rows, "doc", spark.range(0).toDF("id")).where("__near").count()
