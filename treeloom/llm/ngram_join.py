@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from treeloom.llm.kernel import SPACE, Words, byte_view, distinct, flat_texts, map_texts, mix, runs, shingles
 from treeloom.operators.components import components, local_labels
+from treeloom.operators.sift import sifted
 from treeloom.runtime import Scratch, ship, spread
 
 _U = np.uint64
@@ -373,8 +374,8 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
     all_stars, star = star, survivors(star, sketches, part, whole, scratch)
     scratch.drop(all_stars)
     scratch.release()
-    wanted = star.select("doc").union(star.select("leader")).distinct()
-    texts = scratch.cut(docs.join(wanted, "doc", "left_semi"))
+    wanted = scratch.cut(star.select("doc").union(star.select("leader")).distinct())
+    texts = scratch.cut(sifted(docs, "doc", wanted).where("__near").drop("__near").join(wanted, "doc", "left_semi"))
     scratch.release()
     nearest = star.groupBy("doc").agg(F.min("leader").alias("leader"))
     once = _blocked(nearest, sizes).select("*", F.col("doc").alias("known"), F.lit(True).alias("query"))
@@ -405,7 +406,7 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", k: in
             scratch.drop(label)
             label = components(a.union(b), scratch)
         scratch.drop(b)
-    scratch.drop(a, star, rest, texts)
+    scratch.drop(a, star, rest, texts, wanted)
     out = mapped.join(named("rep", "component"), "rep", "left")
     at = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", at.alias("component_id"))
