@@ -171,3 +171,31 @@ def test_lm_large_exponents_stay_finite():
         model.p[key] = model.p[key] * np.float32(1e4)
     ids = np.append(r.integers(0, 50, 37), 60)
     assert np.isfinite(model.log10(ids, np.zeros(len(ids), np.int64))).all() and model.tables.far
+
+
+def test_a_text_is_spelled_out_in_its_own_turns_alone(monkeypatch):
+    r = np.random.default_rng(11)
+    end, rounds = 60, 4
+    texts = [r.integers(0, 60, n).tolist() for n in [0, 1, *r.integers(2, 300, 200)]]
+    words, bound = np.concatenate(texts).astype(np.uint16), np.cumsum([0] + [len(t) for t in texts]).astype(np.int64)
+    cell = lambda x: pa.array([x.tobytes()], pa.binary())
+    piece = pa.RecordBatch.from_arrays([pa.array([list(range(len(texts)))]), pa.array([[False] * len(texts)]), cell(words), cell(bound), cell(np.arange(60, dtype=np.uint16)), cell(np.ones(60, np.uint32))], names=["ids", *lm_scoring.PIECE_CELLS])
+    blocks, spelled = lm_scoring.id_blocks, []
+
+    def counted(*args):
+        for block in blocks(*args):
+            spelled.append(len(block[1]))
+            yield block
+
+    monkeypatch.setattr(lm_scoring, "id_blocks", counted)
+    rows = [(turn, row["doc_id"], row["data"]) for turn in range(rounds) for batch in lm_scoring._runs_of_ids(end, 3, turn, rounds)([piece]) for row in batch.to_pylist()]
+    assert sorted((doc, np.frombuffer(data, np.uint16).tolist()) for _, doc, data in rows) == [(i, [*t, end]) for i, t in enumerate(texts)]
+    assert len({turn for turn, *_ in rows}) == rounds
+    assert sum(spelled) == sum(len(t) + 1 for t in texts)  # before: once a turn
+
+
+def test_distinct_hashes_as_numpy_finds_them():
+    for h in (np.zeros(0, np.uint64), np.random.default_rng(2).integers(0, 50, 400).astype(np.uint64) << np.uint64(57)):
+        values, place, at = lm_scoring.distinct(h)
+        want, back = np.unique(h, return_inverse=True)
+        assert (values == want).all() and (h[place] == want).all() and (at == back).all()
