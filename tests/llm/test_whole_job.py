@@ -199,3 +199,53 @@ def test_distinct_hashes_as_numpy_finds_them():
         values, place, at = lm_scoring.distinct(h)
         want, back = np.unique(h, return_inverse=True)
         assert (values == want).all() and (h[place] == want).all() and (at == back).all()
+
+
+def test_lm_deals_all_turns_in_one_pass_over_the_pieces():
+    """Rows of all turns together, each with its turn, are those of the turns one by one; the pieces are read once."""
+    r = np.random.default_rng(12)
+    end, rounds = 60, 4
+    texts = [r.integers(0, 60, n).tolist() for n in [0, 1, 9000, *r.integers(2, 300, 100)]]
+    words, bound = np.concatenate(texts).astype(np.uint16), np.cumsum([0] + [len(t) for t in texts]).astype(np.int64)
+    cell = lambda x: pa.array([x.tobytes()], pa.binary())
+    piece = pa.RecordBatch.from_arrays([pa.array([list(range(len(texts)))]), pa.array([[i % 7 == 3 for i in range(len(texts))]]), cell(words), cell(bound), cell(np.arange(60, dtype=np.uint16)), cell(np.ones(60, np.uint32))], names=["ids", *lm_scoring.PIECE_CELLS])
+    deal = lambda turn: [row for batch in lm_scoring._runs_of_ids(end, 3, turn, rounds)([piece]) for row in batch.to_pylist()]
+    order = lambda rows: sorted(rows, key=lambda x: (x["turn"], x["doc_id"], x["number"]))
+    one_by_one = [row | {"turn": turn} for turn in range(rounds) for row in deal(turn)]
+    assert order(deal(None)) == order(one_by_one) and len({row["turn"] for row in one_by_one}) == rounds
+
+
+def test_lm_learning_reads_the_pieces_once_for_all_turns(spark, monkeypatch):
+    """A turn's ids come from a table cut by turn, which is gone at the end."""
+    asked, made, runs = [], [], lm_scoring._runs_of_ids
+    monkeypatch.setattr(lm_scoring, "_runs_of_ids", lambda end, shards, turn, rounds: asked.append(turn) or runs(end, shards, turn, rounds))
+
+    class Kept(lm_scoring.Scratch):
+        def cut(self, df, *by):
+            out = super().cut(df, *by)
+            made.extend((out, by) for _ in by[:1])
+            return out
+
+    monkeypatch.setattr(lm_scoring, "Scratch", Kept)
+    docs = [(i, f"some words {i % 5} and {'more ' * (i % 11)} here") for i in range(60)]
+    assert lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).count() == 60
+    assert asked == [None]  # before: one pass for each turn
+    (frame, by), *more = made
+    assert by == ("turn",) and not more
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
+    assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_lm_scores_of_short_and_long_texts_are_those_of_each_alone():
+    """Windows at the edges of texts see their own text alone, wherever it lies; whole windows have no mask."""
+    r = np.random.default_rng(13)
+    model = lm_scoring.train([r.integers(0, 50, n).tolist() for n in (3, 40, 200, 500)], 60, 61, epochs=1)
+    many = np.array([1, 7, 8, 9, 15, 16, 17, 24, 90])
+    texts = [np.append(r.integers(0, 50, n - 1), 60) for n in many]
+    begins = np.cumsum(many) - many
+    together = model.log10(np.concatenate(texts), np.repeat(begins, many))
+    alone = [model.log10(t, np.zeros(len(t), np.int64)) for t in texts]
+    assert np.allclose(together, np.concatenate(alone), rtol=1e-5)
+    whole = texts[-1]
+    for cut in (5, 8, 33):  # nothing behind a position counts
+        assert np.allclose(model.log10(whole[:cut], np.zeros(cut, np.int64)), alone[-1][:cut], rtol=1e-5)
